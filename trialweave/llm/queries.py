@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, warc
-from .common import scratch_dir, table
+from . import decontaminate, exact_dedup, language, pieces, toxicity, warc
+from .common import held_out, scratch_dir, table
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """The place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +36,18 @@ FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, toxicity.training_labels(labels))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs))
+    return language.predict(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -56,5 +75,16 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM d
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op7_warc": op7_warc, "op8_exact_dedup": op8_exact_dedup}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
+    "op7_warc": op7_warc,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
+}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
