@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, pieces, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, language, pieces, pii, toxicity, warc
 from .common import held_out, scratch_dir, table
 
 
@@ -36,6 +36,10 @@ FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, toxicity.training_labels(labels))
@@ -79,12 +83,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
