@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language, pieces, pii, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, language, near_dedup, pieces, pii, toxicity, warc
 from .common import held_out, scratch_dir, table
 
 
@@ -52,6 +52,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), size=2)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS reached FROM e UNION SELECT e.y, r.reached FROM r JOIN e ON r.doc_id = e.x),
+m AS (SELECT doc_id, min(reached) AS reached FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.reached, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m.reached, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -95,9 +113,10 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op6_near_dedup": op6_near_dedup,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op6_near_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
