@@ -1,4 +1,7 @@
-"""A training-corpus pipeline: each stage writes its rows, the next one reads them."""
+"""A training-corpus pipeline over `documents`: each stage works on all that its predecessor kept, as written and read again.
+
+Stages drop rows by doc_id; a row without an id can't be named by them and stays. All but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +11,66 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trialweave.cluster import ship_package
 from trialweave.llm import decontaminate as decontamination
-from trialweave.llm import exact_dedup
-from trialweave.llm.common import materialize, table
+from trialweave.llm import exact_dedup, language, near_dedup, pieces
+from trialweave.llm.common import materialize, sized_ids, table
+from trialweave.llm.queries import tokenizer_path
+
+#: Language ID rejects documents without a letter and those of a smaller score (undecided between many languages).
+LEAST_SCORE = 0.2
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` without the doc_ids of `dropped`."""
+    return docs.join(sized_ids(dropped.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    ship_package(spark)
+    return language.accepted(docs, language.fit(language.training_rows(docs)), LEAST_SCORE)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of equal texts stays."""
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the row with the smallest doc_id stays."""
     ship_package(spark)
-    kept = exact_dedup.deduplicate(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, exact_dedup.deduplicate(docs).where("not kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word shingle similarity of at least 0.8 connect, the one with the smallest doc_id stays."""
+    ship_package(spark)
+    return _without(docs, near_dedup.classes(docs).where("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window with a benchmark item go."""
+    """Documents that share a window of words with a benchmark item go."""
     ship_package(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and whether decoding them gives the text again."""
+    ship_package(spark)
+    return pieces.tokenize(docs, tokenizer_path())
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("decontaminate", decontaminated)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("decontaminate", decontaminated),
+    ("sentencepiece", tokenized),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: SQL can't express the first and the last stage; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -50,6 +50,16 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
     return df.mapInArrow(run, target)
 
 
+#: Ids (8 bytes each) up to which a list of them is broadcast; longer lists are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sized_ids(ids: DataFrame) -> DataFrame:
+    """`ids` for a join: counted, and marked for broadcast only if there are at most BROADCAST_IDS."""
+    ids = materialize(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

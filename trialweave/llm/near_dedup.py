@@ -18,10 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import map_rows, materialize
+from .common import map_rows, materialize, sized_ids
 
-#: Nodes whose texts are fetched by a broadcast of their ids (8 bytes each); beyond, by a shuffle join.
-BROADCAST_IDS = 500_000
 SKETCH = "doc_id long, n_shingles long, set_key binary, permuted array<long>, bucketed array<long>"
 
 
@@ -108,9 +106,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     shared = keys.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1").select("slot", "key", "center")
     members = materialize(keys.join(shared, ["slot", "key"]), "members")
 
-    own = members.select(F.col("node").alias("doc_id")).distinct()
-    own = materialize(own, "own")
-    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    own = sized_ids(members.select(F.col("node").alias("doc_id")).distinct())
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(own, "doc_id", "left_semi"), size).distinct(), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language, near_dedup, pieces, pii, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, language, lm_score, near_dedup, pieces, pii, toxicity, warc
 from .common import held_out, scratch_dir, table
 
 
@@ -52,12 +52,32 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    out = lm_score.score(table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_bytes", *[F.round(c, 6).alias(c) for c in ("background_loss", "target_loss", "score")])
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, repeat('00', 4) || hex(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+g AS (SELECT doc_id, substr(h, 2 * i - 1, 10) AS gram, count(*) AS n FROM (SELECT doc_id, h, unnest(range(1, n_bytes + 1)) AS i FROM d) GROUP BY 1, 2),
+c AS (SELECT gram, substr(gram, 1, 8) AS context, sum(CASE WHEN doc_id IN (SELECT doc_id FROM t) THEN n ELSE 0 END) AS tn, sum(n) AS bn FROM g GROUP BY 1, 2),
+k AS (SELECT context, sum(tn) AS ta, sum(bn) AS ba FROM c GROUP BY 1),
+p AS (SELECT gram, -ln((tn + 0.1) / (ta + 25.6)) AS tl, -ln((bn + 0.1) / (ba + 25.6)) AS bl FROM c JOIN k USING (context)),
+s AS (SELECT doc_id, sum(n * tl) AS tl, sum(n * bl) AS bl FROM g JOIN p USING (gram) GROUP BY doc_id)
+SELECT d.doc_id, n_bytes, round(bl / n_bytes, 6) AS background_loss, round(tl / n_bytes, 6) AS target_loss, round((bl - tl) / n_bytes, 6) AS score
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=2)
 
 
 OP6_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -113,10 +133,11 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_lm_score": op5_lm_score,
     "op6_near_dedup": op6_near_dedup,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op6_near_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op5_lm_score": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
