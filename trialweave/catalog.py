@@ -1,7 +1,11 @@
-"""Every query of the reference's own operators, and its DuckDB SQL."""
+"""Every query of the trial-response operators, and its DuckDB SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "c7_holo_means_ci"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import batch_queries, raster_queries, trace_queries
+from .streaming import live_queries
+
+FLAGSHIP = "holo_mean_ci"
+_PARTS = (trace_queries, raster_queries, batch_queries, live_queries)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
