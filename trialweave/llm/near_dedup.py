@@ -3,9 +3,10 @@
 Equal shingle sets become one node. Nodes that share a band's registers share a bucket. First each node is checked against one
 node only, the smallest of the buckets it shares most; the confirmed links are a forest, which pointer jumping turns into classes. Only
 buckets that still hold several classes are looked at again: each member outside the bucket's main class is
-compared with the members of other classes, pruned inside the join by size, by the first common band (so a pair comes up once) and by the
-similarity that the registers estimate, less six standard deviations. What remains is confirmed on full sets. Pairs of one class are never
-made, so a group of copies or near copies costs rows in proportion to its size.
+compared with the members of other classes, pruned inside the join by size, by the first common band (so a pair comes up once), by the
+similarity that the registers estimate, less six standard deviations, and by the overlap of half hashes; the join gives only pairs that are
+all but certain, which full sets then confirm. Pairs of one class are never made, so a group of copies or near copies makes rows in
+proportion to its size.
 
 A pair at a similarity of 0.8 shares none of the 32 bands with a probability of 5e-8.
 """
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from . import shingles as S
 from .common import map_rows, materialize, sized_ids
 
+#: Shingles of two sets that may agree though the upper halves of their hashes don't count them.
+HALF_SLACK = 3
 SKETCH = "doc_id long, n_shingles long, set_key binary, permuted array<long>, bucketed array<long>"
 
 
@@ -125,13 +128,17 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     bands = nodes.select("node", F.col("n_shingles").alias("n"), "permuted", "bucketed")
     open_ = placed.join(main, ["slot", "key"]).join(bands, "node").select("slot", "key", "node", "comp", "main", "n", F.when(F.col("slot") < S.BANDS, F.col("permuted")).otherwise(F.col("bucketed")).alias("bands"))
     open_ = materialize(open_, "open")
-    x, y = open_.where("comp <> main").alias("x"), open_.alias("y")
+    halves = sets.select("node", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")).alias("half"))
+    x, y = open_.where("comp <> main").join(halves, "node").alias("x"), open_.join(halves, "node").alias("y")
     c = lambda name: F.col(name)
     first = F.array_position(F.zip_with(c("x.bands"), c("y.bands"), lambda a, b: a == b), F.lit(True)) == F.pmod(c("x.slot"), F.lit(S.BANDS)) + 1
     least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / S.REGISTERS)
     other = (c("x.comp") != c("y.comp")) & ((c("y.comp") == c("y.main")) | (c("x.node") < c("y.node")))
     sized = 100 * F.least(c("x.n"), c("y.n")) >= percent * F.greatest(c("x.n"), c("y.n"))
-    near = F.when(other & sized, F.when(first, estimated(c("x.bands"), c("y.bands"), c("x.n"), c("y.n")) >= least)).otherwise(False)
+    # the upper halves of hashes agree at least where the hashes do; the slack covers halves that meet within a set
+    common = F.size(F.array_intersect(c("x.half"), c("y.half"))) + HALF_SLACK
+    alike = 100 * common >= percent * (c("x.n") + c("y.n") - common)
+    near = F.when(other & sized, F.when(first, F.when(estimated(c("x.bands"), c("y.bands"), c("x.n"), c("y.n")) >= least, alike))).otherwise(False)
     pairs = x.join(y, (c("x.slot") == c("y.slot")) & (c("x.key") == c("y.key")) & near)
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
 
