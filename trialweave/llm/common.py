@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-trialweave-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+#: Rows of an Arrow batch where the session has Spark's own default; texts can be long, and a batch is held whole.
+BATCH_ROWS = 1000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` as Parquet in the shared folder and read it again."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -37,6 +30,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
 
     Only the columns of `df` travel to Python, in Arrow batches; rows stay in their partition.
     """
+    small_batches(df.sparkSession)
     target = df.sparkSession.createDataFrame([], schema).schema
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in target])
 

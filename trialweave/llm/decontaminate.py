@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, small_batches
 
 #: Words in a window; the most bytes of windows in an automaton, as the size of what is sent to each task.
 WINDOW, BLOCK_BYTES = 10, 32 << 20
@@ -142,6 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
     One scan a block filters in place, so neither a join nor an id is needed.
     """
+    small_batches(docs.sparkSession)
     for block in _blocks(item_windows(benchmark, size), BLOCK_BYTES):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, small_batches
 
 #: Features; the most training documents a language (a bounded, hash-ordered sample of the labelled rows).
 FEATURES, SAMPLE = 1 << 13, 500
@@ -137,6 +137,7 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.0) -> DataFrame:
     """`docs`, all columns, without rows whose language is undetermined or whose score is below `least`."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

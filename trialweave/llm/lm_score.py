@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, sized_ids
+from .common import map_rows, materialize, sized_ids, small_batches
 
 ORDER, ALPHA = 5, 0.1
 #: Rows of the table up to which it is broadcast (24 bytes each); n-grams that a task gathers before it adds them up.
@@ -74,6 +74,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         waiting = 0
         yield from emit()
 
+    small_batches(docs.sparkSession)
     counted = docs.select("text", "is_target").mapInArrow(run, "gram long, target long, background long")
     return counted.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 

@@ -15,7 +15,7 @@ BANDS = REGISTERS // BAND
 PERMUTED, BUCKETED = 512, 409
 EMPTY = 0xFFFF
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CACHED_WORDS = 1 << 19
+_CACHED_WORDS = 1 << 17
 _FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(57)
 

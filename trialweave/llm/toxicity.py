@@ -27,7 +27,7 @@ CONTEXTS, CONTEXT_SHARE, VARIETY, PURITY, STEM_CHARS, STEM_WORDS = 5, 0.012, 0.5
 #: What a misspelt find counts; the share of clean documents in which a term's misspellings may be found.
 MISSPELT, STRAY = 0.8, 0.0005
 #: Words that a task remembers.
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 17
 TOKENS = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*|[\"“”„«»‹›]")
 QUOTES = frozenset("\"“”„«»‹›")
 #: Words of reporting and of address.
