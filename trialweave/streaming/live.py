@@ -25,7 +25,7 @@ def trial_number(path) -> F.Column:
 
 
 def file_catalog(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, name, length, modificationTime) of a folder's files that match, without hidden ones; contents aren't read."""
+    """(path, name, length, modificationTime) of a folder's files that match, without hidden and empty ones; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "modificationTime")
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(~F.col("name").startswith("."))
 
