@@ -62,6 +62,7 @@ def _scanner(spark, block, size):
 
     def make():
         automaton = ahocorasick.Automaton()
+        automaton.add_word("\0", None)  # in no normalised text; an automaton without words can't search
         for window, items in sent.value:
             # bytes as latin-1 characters, so that offsets count bytes
             text = f" {window} ".encode().decode("latin-1")
@@ -148,6 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
         def run(batches, sent=sent):
             automaton = ahocorasick.Automaton()
+            automaton.add_word("\0", True)
             for window, _ in sent.value:
                 automaton.add_word(f" {window} ".encode().decode("latin-1"), True)
             automaton.make_automaton()
