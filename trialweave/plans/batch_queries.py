@@ -56,5 +56,14 @@ def nested_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shot.select("cell", F.size("holos").alias("n_holos"), F.to_json("holos").alias("holos"))
 
 
-QUERIES = {f.__name__: f for f in (region_responses, batch_run, nested_snapshot)}
+def sorted_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of all trials by condition: filtered, cut, detrended; trials of a high baseline are excluded."""
+    arrays = B.trace_arrays(spark, sf_dir)
+    high = T.baselined(B.traces(spark, sf_dir).withColumnRenamed("frame", "i"), 16, 1.06).where("excluded").select("trial").distinct()
+    onsets = arrays.select("trial", F.col("cond").alias("holo"), F.lit(0.066).alias("onset"))
+    points = S.sorted_sweeps(arrays, onsets, high, 500.0, 120.0, 32, 34.0)
+    return T.mean_interval(points, ["holo", "k"], "flat", "2").select(F.col("holo").alias("cond"), "k", "n_cols", "n", *r6("mean", "ci_lo", "ci_hi"))
+
+
+QUERIES = {f.__name__: f for f in (region_responses, batch_run, nested_snapshot, sorted_sweeps)}
 ORACLE_SQL = {"region_responses": REGION_RESPONSES_SQL}

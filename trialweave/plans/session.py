@@ -111,3 +111,23 @@ def snapshot(responses: DataFrame, means: DataFrame) -> DataFrame:
     trials = per_trial.groupBy("cell", "cond", "holo").agg(F.array_sort(F.collect_list("t")).alias("trials"))
     both = trials.join(per_k, ["cell", "cond", "holo"], "left")
     return both.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("cond", "holo", "trials", "means"))).alias("holos"))
+
+
+def sorted_sweeps(sweeps: DataFrame, onsets: DataFrame, excluded: DataFrame, freq: float, cutoff: float, length: int, pre: float) -> DataFrame:
+    """(trial, holo, k, flat): each trial's sweep (trial, samples array) filtered without phase, cut around its onsets, detrended and set to zero
+    by the points before the stimulus. Excluded trials have NULLs.
+
+    `onsets` has (trial, holo, onset in seconds), `excluded` the trials.
+    """
+    kept = sweeps.join(excluded.select("trial").distinct(), "trial", "left_anti")
+    filtered = kept.select("trial", F.posexplode(recursive.zero_phase(F.col("samples"), *recursive.low_pass(4, cutoff, freq))).alias("p", "v"))
+    points = T.padded_windows(filtered.select("trial", (F.col("p") + 1).cast("long").alias("frame"), "v"), onsets, length, freq, pre)
+    return T.detrended(points, ["trial", "holo"], max(1, int(pre / 1000 * freq + 0.5) - 1), freq)
+
+
+def bootstrap_regions(image: DataFrame, labels: DataFrame, rules: G.Quality, height: int, width: int) -> dict[str, DataFrame]:
+    """Rough regions of one image's label raster (r, c, label), their fine regions and surroundings in the image (r, c, v), and the report."""
+    raster = labels.join(image, ["r", "c"]).select(F.lit(0).cast("long").alias("img"), "r", "c", "label", F.col("v").alias("intensity"))
+    rough, report = G.rough_regions(raster, rules, height, width)
+    fine, rings = G.fine_regions(image, rough, height, width)
+    return {"rough": rough, "fine": fine, "rings": rings, "report": report}
