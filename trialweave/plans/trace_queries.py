@@ -230,17 +230,39 @@ def iir_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trial", F.posexplode("y").alias("p", "y")).select("trial", (F.col("p") + 1).cast("long").alias("frame"), *r6("y"))
 
 
-def _causal_sql() -> str:
-    b, a = CAUSAL
+def _recursion_sql(name: str, source: str, n: int, coefficients, start: list[float]) -> str:
+    """A CTE name(trial, s, frame, y, z0..z3): the filter run over the arrays s of source(trial, s), from a state of `start` times the first sample."""
+    b, a = coefficients
     state = lambda k, prev: f"{prev} + v * {b[k]!r} - ({a[k]!r}) * (v * {b[0]!r} + z0)"
     step = ", ".join(state(k, f"z{k}" if k < 4 else "0.0") + f" AS n{k - 1}" for k in range(1, 5))
-    return f"""
-WITH RECURSIVE x AS (SELECT vec_id AS trial, list_transform(embedding, lambda e: CAST(e AS DOUBLE) + 1.0) AS s FROM embeddings),
-f(trial, s, frame, y, z0, z1, z2, z3) AS (
-  SELECT trial, s, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM x
-  UNION ALL SELECT trial, s, frame + 1, v * {b[0]!r} + z0, n0, n1, n2, n3 FROM (SELECT trial, s, frame, z0, v, {step} FROM (SELECT *, s[frame + 1] AS v FROM f WHERE frame < 64)))
+    first = ", ".join(f"CAST({z!r} * s[1] AS DOUBLE)" for z in start)
+    return f"""{name}(trial, s, frame, y, z0, z1, z2, z3) AS (
+  SELECT trial, s, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), {first} FROM {source}
+  UNION ALL SELECT trial, s, frame + 1, v * {b[0]!r} + z0, n0, n1, n2, n3 FROM (SELECT trial, s, frame, z0, v, {step} FROM (SELECT *, s[frame + 1] AS v FROM {name} WHERE frame < {n})))"""
+
+
+SAMPLES_SQL = "x AS (SELECT vec_id AS trial, CAST(label AS BIGINT) + 1 AS cond, list_transform(embedding, lambda e: CAST(e AS DOUBLE) + 1.0) AS s FROM embeddings)"
+CAUSAL_SQL = f"""
+WITH RECURSIVE {SAMPLES_SQL}, {_recursion_sql("f", "x", 64, CAUSAL, [0.0] * 4)}
 SELECT trial, frame, round(y, 6) + 0.0 AS y FROM f WHERE frame > 0
 """
+_STEADY = recursive.steady_state(*SWEEP)
+ZERO_PHASE_SQL = f"""
+WITH RECURSIVE {SAMPLES_SQL},
+w AS (SELECT trial, list_concat(list_concat(list_transform(range(1, 13), lambda j: 2 * s[1] - s[14 - j]), s), list_transform(range(1, 13), lambda j: 2 * s[64] - s[64 - j])) AS s FROM x),
+{_recursion_sql("f", "w", 88, SWEEP, _STEADY)},
+u AS (SELECT trial, list(y ORDER BY frame DESC) AS s FROM f WHERE frame > 0 GROUP BY trial),
+{_recursion_sql("g", "u", 88, SWEEP, _STEADY)}
+SELECT trial, 77 - frame AS frame, round(y, 6) + 0.0 AS y FROM g WHERE frame BETWEEN 13 AND 76
+"""
+FILTERED_SQL = f"""
+WITH RECURSIVE {SAMPLES_SQL},
+w AS (SELECT p.trial, p.cond, list_transform(range(1, 65), lambda i: p.s[i] - 0.85 * (q.s[i] * 0.5)) AS s FROM x p JOIN x q ON q.trial + 1 = p.trial),
+{_recursion_sql("f", "w", 64, CAUSAL, [0.0] * 4)},
+k AS (SELECT f.trial, cond, frame - 16 AS k, w.s[frame] AS c, y FROM f JOIN w ON f.trial = w.trial WHERE frame BETWEEN 17 AND {16 + WINDOW}),
+b AS (SELECT trial, avg(c) AS f0, avg(y) AS g0 FROM k WHERE k <= {PRE_POINTS} GROUP BY trial)
+SELECT k.trial, cond, k, round(f0, 6) + 0.0 AS f0, round((c - f0) / nullif(f0, 0), 6) + 0.0 AS dff, round((y - g0) / nullif(g0, 0), 6) + 0.0 AS filt_dff FROM k JOIN b ON k.trial = b.trial
+"""
 
 
 def iir_zero_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +406,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "holo_mean_ci": HOLO_MEAN_CI_SQL, "trial_dff": TRIAL_DFF_SQL, "trial_dff_common_f0": TRIAL_DFF_COMMON_SQL, "window_extract": WINDOW_EXTRACT_SQL, "window_lengths": WINDOW_LENGTHS_SQL, "baseline_exclude": BASELINE_SQL,
     "detrended_sweeps": f"WITH {FLAT_SQL} SELECT trial, cond, k, round(flat, 6) + 0.0 AS flat FROM f", "sweep_ci": SWEEP_CI_SQL, "trial_excluder": TRIAL_EXCLUDER_SQL, "hazen_percentile": HAZEN_SQL, "mad_outliers": MAD_SQL,
-    "interleave_metrics": INTERLEAVE_SQL, "channel_split": CHANNEL_SPLIT_SQL, "iir_causal": _causal_sql(), "holo_ids": HOLO_IDS_SQL, "session_normalise": SESSION_SQL, "trial_metadata_join": METADATA_SQL,
+    "interleave_metrics": INTERLEAVE_SQL, "channel_split": CHANNEL_SPLIT_SQL, "iir_causal": CAUSAL_SQL, "iir_zero_phase": ZERO_PHASE_SQL, "trial_dff_filtered": FILTERED_SQL, "holo_ids": HOLO_IDS_SQL, "session_normalise": SESSION_SQL, "trial_metadata_join": METADATA_SQL,
     "eligible_trials": ELIGIBLE_SQL, "trial_sample": TRIAL_SAMPLE_SQL, "trial_progress": PROGRESS_SQL, "latest_record": LATEST_SQL, "trial_index": TRIAL_INDEX_SQL, "electrode_union": ELECTRODE_SQL,
     "parity_report": PARITY_SQL, "condition_columns": COLUMNS_SQL,
 }
