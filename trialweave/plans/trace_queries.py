@@ -18,7 +18,7 @@ ONSET, WINDOW, PRE_POINTS, SKIPPED = 0.0675, 32, 16, 50
 
 TRACES_SQL = "t AS (SELECT vec_id AS trial, CAST(label AS BIGINT) + 1 AS cond, CAST(i AS BIGINT) AS frame, CAST(embedding[i] AS DOUBLE) + 1.0 AS v FROM embeddings, range(1, 65) g(i))"
 SWEEPS_SQL = "e AS (SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS cond, value AS v, event_id FROM events)"
-T95_SQL = "q(df, t) AS (VALUES " + ", ".join(f"({k}, {t!r})" for k, t in enumerate(N.t_table(0.975), 1)) + ")"
+T95_SQL = "q(df, t) AS (VALUES " + ", ".join(f"({k}, {N.t_quantile(0.975, k)!r})" for k in range(1, 401)) + ")"
 
 
 def r6(*columns: str) -> list:
