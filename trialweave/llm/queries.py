@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, html_text, language, lm_score, near_dedup, pieces, pii, toxicity, warc
-from .common import held_out, scratch_dir, table
+from .common import held_out, materialize, scratch_dir, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -122,8 +122,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = pii.find(docs, pii.fit(docs))
+    matches = materialize(pii.matches(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found"), "matches")
+    found = pii.select(matches, pii.fit(matches))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
