@@ -171,21 +171,27 @@ def test_rectangle_weights_repeats(spark):
 
 #: Recorded regions of one image: label, area, centroid row and column, mean intensity; and the order of the accepted ones.
 RECORDED = [
-    (1, 404, 8.180693069306932, 185.14356435643563, 210.24849025772806), (2, 382, 7.392670157068062, 255.6020942408377, 257.81630414064784), (3, 172, 6.813953488372093, 386.3779069767442, 179.05837180763754),
-    (4, 402, 13.41044776119403, 125.41791044776119, 227.62277012080000), (5, 423, 13.328605200945626, 33.6548463356974, 172.2236672664795), (6, 447, 13.557046979865772, 212.248322147651, 295.17495660237324),
-    (7, 176, 14.227272727272727, 153.54545454545453, 167.74906468221357), (8, 263, 16.79467680608365, 293.9239543726236, 175.2997608634009), (10, 67, 17.19402985074627, 345.2835820895522, 168.1519129103826),
-    (12, 122, 29.852459016393443, 320.5409836065574, 162.45626839136264),
+    (1, 404, 8.180693069306932, 185.14356435643563, 210.24849025772806), (2, 382, 7.392670157068062, 255.6020942408377, 257.81630414064784),
+    (3, 172, 6.813953488372093, 386.3779069767442, 179.05837180763754), (4, 402, 13.41044776119403, 125.41791044776119, 227.62280937580235),
+    (5, 423, 13.328605200945626, 33.6548463356974, 172.2372236664795), (6, 447, 13.557046979865772, 212.248322147651, 295.17495660237324),
+    (7, 176, 14.227272727272727, 153.54545454545453, 167.74906468221357), (8, 263, 16.79467680608365, 293.9239543726236, 175.2997608634009),
+    (9, 455, 23.246153846153845, 251.55384615384617, 311.5221687928278), (10, 67, 17.19402985074627, 345.2835820895522, 168.1519129103826),
+    (11, 426, 26.023474178403756, 275.2863849765258, 258.8260241212497), (12, 122, 29.852459016393443, 320.5409836065574, 162.45626839136264),
+    (13, 619, 41.44749596122779, 107.97253634894992, 223.26084234656494), (14, 438, 40.529680365296805, 219.05251141552512, 231.74660876912907),
+    (15, 385, 42.23116883116883, 193.65454545454546, 259.85508084972275), (16, 462, 44.03030303030303, 262.05627705627705, 302.96428911326615),
+    (17, 122, 48.057377049180324, 296.3360655737705, 224.9539664917185), (18, 387, 54.23514211886305, 281.41602067183464, 245.75135077439913),
+    (19, 225, 56.266666666666666, 395.0622222222222, 153.340669056793), (20, 334, 57.10179640718563, 154.67664670658684, 297.6899597051296),
 ]
 
 
 def test_recorded_regions(spark):
     df = spark.createDataFrame([(0, *r) for r in RECORDED], "img long, label long, area long, centroid_r double, centroid_c double, intensity double")
     judged = G.judged(df, G.Quality())
-    assert {r.label: r.reject_reason for r in judged.where("reject_reason is not null").collect()} == {10: "area 67 < minAreaPx 150", 12: "area 122 < minAreaPx 150"}
+    assert {r.label: r.reject_reason for r in judged.where("reject_reason is not null").collect()} == {10: "area 67 < minAreaPx 150", 12: "area 122 < minAreaPx 150", 17: "area 122 < minAreaPx 150"}
     kept = G.numbered(G.separated(judged.where("reject_reason is null"), 15.0))
-    assert [r.label for r in kept.orderBy("cell").collect()] == [3, 2, 1, 5, 4, 6, 7, 8]
+    assert [r.label for r in kept.orderBy("cell").collect()] == [3, 2, 1, 5, 4, 6, 7, 8, 9, 11, 14, 13, 15, 16, 18, 19, 20]
     two = G.numbered(G.separated(judged.where("reject_reason is null"), 15.0), 2)
-    assert [r.label for r in two.orderBy("cell").collect()] == [2, 6]
+    assert [r.label for r in two.orderBy("cell").collect()] == [9, 16]
 
 
 def test_fine_regions_fall_back_to_rough_ones(spark):
