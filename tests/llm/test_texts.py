@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trialweave.llm import html_text, language, pieces, pii, toxicity, warc
+from trialweave.llm import common, html_text, language, pieces, pii, toxicity, warc
 from trialweave.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
@@ -39,6 +39,21 @@ def test_one_language_and_unknown_families(spark):
     assert language.predict_one(language.fit(docs.limit(1)), "anything") == ("xx", 1.0)
 
 
+def test_copies_leave_the_sample_to_others(spark):
+    lines = [("the copy " * 3, "en")] * 3000 + [(f"der die und {k}", "de") for k in range(40)] + [(f"the of and {k}", "en") for k in range(40)]
+    model = language.fit(spark.createDataFrame(lines, "text string, lang string"), sample=2000)
+    assert [language.predict_one(model, t)[0] for t in ("die der und", "the of and")] == ["de", "en"]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def make():
+        return lambda doc_id, text: (doc_id, len(text))
+
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat('x', 100000) as text")
+    assert {r.n for r in common.map_rows(docs, make, "doc_id long, n long").select("n").collect()} == {100000}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) == common.BATCH_BYTES
+
+
 def distance(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):

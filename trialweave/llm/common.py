@@ -15,14 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch where the session has Spark's own default; texts can be long, and a batch is held whole.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch where the session has Spark's own defaults; texts can be long, and a batch is held whole.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    arrow = "spark.sql.execution.arrow"
+    for key, default, own in ((f"{arrow}.maxRecordsPerBatch", "10000", BATCH_ROWS), (f"{arrow}.maxBytesPerBatch", str(64 << 20), BATCH_BYTES)):
+        if spark.conf.get(key, default) == default:  # that is also given where it is unset
+            spark.conf.set(key, own)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
