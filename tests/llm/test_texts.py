@@ -122,6 +122,18 @@ def test_density_rules_without_markup():
     assert html_text.main_text(page) == f"Short title\n{long}\nShort.\n{long}"
 
 
+def test_density_rules_decide_beside_markup():
+    long = "This is the long paragraph of a page that has many of the words that we know, and it is about the article and what was in it for all of us to read with the others, and then some more of it."
+    code = "x = compute(alpha, beta); y = transform(gamma, delta); assert equal(x, y)"
+    inside = f"<article><h1>Title</h1><p>{long}</p><pre>{code}</pre><p>{long}</p><ul><li><a>One</a></li><li><a>Two</a></li></ul><p>Great deals, cheap shoes, free shipping, <a>order today, best prices</a></p></article>"
+    assert html_text.main_text(f"<nav>Menu</nav>{inside}<footer>f</footer>") == f"Title\n{long}\n{code}\n{long}"
+    teaser = f'<div>{long}</div><div class="post">Short teaser</div><div>{long}</div><div><a>Terms</a></div>'
+    assert html_text.main_text(teaser).split("\n")[::2] == [long, long]
+    assert html_text.main_text(f"<div>It is about us.</div><article><p>{long}</p></article><div>Site of the year</div><div><a>Terms</a></div>") == f"{long}"
+    other = "Wszyscy ludzie rodzą się wolni, równi pod względem swej godności, swych praw, obdarzeni rozumem, sumieniem."
+    assert html_text.main_text(f"<article><p>{other}</p></article>") == other
+
+
 def test_warc(spark, tmp_path):
     big, other = "é" * 60, "x" * 200
     rows = [(5, "u5", big), (3, "u3\r\nX: y", big), (9, None, big), (1, "a", "small"), (2, "b", "small"), (4, "c", None), (6, "d", ""), (7, "e", other), (None, "f", other), (8, "g", "line\r\n\r\nWARC-Type: fake\r\n" * 9)]

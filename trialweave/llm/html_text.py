@@ -1,9 +1,9 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides a block where it can: parts that a page's
-markup names (menus, headers, footers, forms, adverts, comments, ...) are boilerplate, those of its article are text; elsewhere the share of link
-characters, the share of stop words and the length decide. Short blocks without such evidence stay open; the second
-pass gives them the label of the nearest decided blocks around them.
+markup names (menus, headers, footers, forms, adverts, comments, ...) are boilerplate; of all others the share of link
+characters, the share of stop words and the length decide, with thresholds that are easier inside what the markup names an article and
+harder outside it. Short blocks without such evidence stay open; the second pass gives them the label of the nearest decided blocks around them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .common import map_rows
 
 #: Thresholds of the rules: share of link characters, shares of stop words, characters.
 LINKS, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.4, 0.12, 0.25, 60, 180
+#: The share of link characters that a block of a named article may have.
+LINKS_INSIDE = 0.6
 #: Stop words of some languages.
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were what when which who will with you "
@@ -133,41 +135,60 @@ def blocks(page: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def _first(size: int, links: int, stop: float, prior: int, usual: float) -> bool | None:
+    """The first pass for a block; `prior` says what the markup makes of it and moves the thresholds, `usual` is the article's share of stop words."""
+    if prior == TEXT:  # few stop words speak against it only where the article has them, and with links
+        if links > LINKS_INSIDE * size:
+            return False
+        if size < SHORT:
+            return None
+        return True if stop >= min(STOP_LOW, usual / 2) else False if links > LINKS / 2 * size else None
+    if links > (LINKS if prior == OPEN else LINKS / 2) * size:
+        return False
+    if size < SHORT or STOP_LOW <= stop < STOP_HIGH and size < LONG:
+        return None
+    if prior == BOILERPLATE and STOP_LOW <= stop and (size < LONG or stop < STOP_HIGH):  # outside an article text must be plainer
+        return None
+    return stop >= STOP_HIGH or stop >= STOP_LOW and size >= LONG
+
+
 def decide(page: list[tuple[str, int, int]]) -> list[bool]:
-    """Which blocks are main text. Where the markup names an article, what stands outside it isn't."""
-    named = any(standing == TEXT for _, standing, _ in page)
-    labels: list[bool | None] = []
-    for text, standing, links in page:  # the first pass
-        if standing != OPEN or named:
-            labels.append(standing == TEXT)
-        elif links > LINKS * len(text):
-            labels.append(False)
-        else:
-            words = _WORDS.findall(text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if len(text) < SHORT or STOP_LOW <= stop < STOP_HIGH and len(text) < LONG:
-                labels.append(None)
-            else:
-                labels.append(stop >= STOP_HIGH or stop >= STOP_LOW and len(text) >= LONG)
-    decided = [k for k, x in enumerate(labels) if x is not None]
+    """Which blocks are main text: the rules decide on all that markup doesn't exclude; an article's name moves their thresholds.
+
+    What stands outside a named article has the thresholds of a page without one if it holds more text than the article does.
+    """
+    counted = []
+    for text, standing, _ in page:
+        words = _WORDS.findall(text.lower()) if standing != BOILERPLATE else []
+        counted.append((sum(w in STOP_WORDS for w in words), len(words)))
+    shares = [stop / max(1, n) for stop, n in counted]
+    inside = [k for k, (_, standing, _) in enumerate(page) if standing == TEXT]
+    usual = sum(counted[k][0] for k in inside) / max(1, sum(counted[k][1] for k in inside))
+    outer = sum(len(text) for (text, standing, links), stop in zip(page, shares) if standing == OPEN and _first(len(text), links, stop, OPEN, 0.0))
+    outside = BOILERPLATE if inside and outer <= sum(len(page[k][0]) for k in inside) else OPEN
+    labels = [False if standing == BOILERPLATE else _first(len(text), links, stop, standing or outside, usual) for (text, standing, links), stop in zip(page, shares)]
     out = list(labels)
-    before = None
-    after = iter(decided)
-    nxt = next(after, None)
-    for k, x in enumerate(labels):  # the second pass
-        while nxt is not None and nxt < k:
-            nxt = next(after, None)
-        if x is not None:
-            before = k
-            continue
-        if before is None or nxt is None:
-            near = before if nxt is None else nxt
-            out[k] = labels[near] if near is not None else True  # a page of short blocks alone is text
-        elif labels[before] == labels[nxt]:
-            out[k] = labels[before]
-        else:  # between text and boilerplate the nearer side counts, of equally near ones the text
-            gap = (k - before) - (nxt - k)
-            out[k] = labels[before] if gap < 0 else labels[nxt] if gap > 0 else True
+    # the second pass; parts that markup excludes inside an article (adverts, forms) say nothing of the article's blocks
+    for own in (True, False):
+        decided = [k for k, x in enumerate(labels) if x is not None and not (own and page[k][1] != TEXT)]
+        before = None
+        after = iter(decided)
+        nxt = next(after, None)
+        for k, x in enumerate(labels):
+            while nxt is not None and nxt < k:
+                before = nxt
+                nxt = next(after, None)
+            if x is not None or own != (page[k][1] == TEXT):
+                continue
+            if before is None or nxt is None:
+                near = before if nxt is None else nxt
+                # a page of short blocks alone is text; outside an article a block must have text on both sides
+                out[k] = (near is None or labels[near]) and (own or outside == OPEN)
+            elif labels[before] == labels[nxt]:
+                out[k] = labels[before]
+            else:  # between text and boilerplate the nearer side counts, of equally near ones the text, or what the markup says
+                gap = (k - before) - (nxt - k)
+                out[k] = labels[before] if gap < 0 else labels[nxt] if gap > 0 else own or outside == OPEN
     return out
 
 
