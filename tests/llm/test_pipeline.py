@@ -1,9 +1,11 @@
 """The pipeline's stages and the registered queries on small tables."""
 
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_documents import components, contamination, expected_groups
@@ -43,6 +45,21 @@ def test_stages_drop_what_they_should(spark):
     assert not kept & {900001, 900002, 900003} and len(kept) == docs.count() - 3
 
 
+def test_unlearnt_languages_and_gibberish_go(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rng = random.Random(0)
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (100, 500, 3000)]
+    odd += ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan"]
+    extra = spark.createDataFrame([(900001 + k, t, None, None, len(t)) for k, t in enumerate(odd)], docs.schema)
+    french = docs.where("lang = 'fr'").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, docs.where("lang <> 'fr'").unionByName(french).unionByName(extra), data)
+    counts = {lang: n for lang, n in kept.groupBy("lang").count().collect()}
+    clean = docs.where("lang <> 'fr'").count()
+    assert counts.get(None, 0) <= 0.03 * french.count() and sum(n for lang, n in counts.items() if lang) >= 0.99 * clean
+    assert kept.where("doc_id > 900000").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     c = duckdb.connect()

@@ -105,12 +105,18 @@ def _vote(names: list[str], svms: dict, x: np.ndarray) -> tuple[str, float]:
     return best, min((1 / (1 + math.exp(-min(50.0, max(-50.0, 4 * m)))) for m in won[best]), default=1.0)
 
 
-def predict_one(model: dict, text: str | None) -> tuple[str, float]:
+def _steps(model: dict, text: str | None) -> tuple[str, float, float]:
+    """The language and the certainties of its family and of itself within it."""
     x = features(text)
     if x is None or not model["langs"]:
-        return UNDETERMINED, 0.0
+        return UNDETERMINED, 0.0, 0.0
     of, p = _vote(list(model["langs"]), model["families"], x)
     lang, q = _vote(model["langs"][of], model["inner"][of], x)
+    return lang, p, q
+
+
+def predict_one(model: dict, text: str | None) -> tuple[str, float]:
+    lang, p, q = _steps(model, text)
     return lang, p * q
 
 
@@ -135,7 +141,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict, least: float = 0.0) -> DataFrame:
-    """`docs`, all columns, without rows whose language is undetermined or whose score is below `least`."""
+    """`docs`, all columns, without rows whose language is undetermined or of which a step's certainty is below `least`.
+
+    A winner of all its pairs has 0.5 at least in both steps; texts of no learnt language are a little above that.
+    """
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
@@ -143,7 +152,7 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.0) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [predict_one(sent.value, t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+            found = [_steps(sent.value, t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array([lang != UNDETERMINED and min(p, q) >= least for lang, p, q in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
