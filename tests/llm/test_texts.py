@@ -45,6 +45,14 @@ def test_copies_leave_the_sample_to_others(spark):
     assert [language.predict_one(model, t)[0] for t in ("die der und", "the of and")] == ["de", "en"]
 
 
+def test_many_copies_do_not_shrink_the_sample(spark):
+    own = [(f"the of and {chr(97 + k // 26)}{chr(97 + k % 26)}", "en") for k in range(40)]
+    other = [(f"der die und {chr(97 + k // 26)}{chr(97 + k % 26)}", "de") for k in range(40)]
+    copies = spark.range(40_000).select(F.lit("zzz qqq").alias("text"), F.lit("en").alias("lang"))
+    model = language.fit(copies.unionByName(spark.createDataFrame(own + other, "text string, lang string")), sample=40)
+    assert [language.predict_one(model, t)[0] for t in ("die der und", "the of and")] == ["de", "en"]
+
+
 def test_batches_are_bounded_by_bytes(spark):
     def make():
         return lambda doc_id, text: (doc_id, len(text))

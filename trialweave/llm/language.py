@@ -72,12 +72,13 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 80)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model of rows (text, lang) with neither null; of each language, about `sample` documents are used, dealt by a hash.
+    """The model of rows (text, lang) with neither null; of each language, about `sample` distinct texts are used, dealt by a hash.
 
-    The counts of languages cover all rows; copies that a language has of a text are drawn once. The sample is gathered on the driver.
+    The counts of languages cover the distinct texts of all rows, as 64-bit hashes. The sample is gathered on the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    hashed = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = {r.lang: r["count"] for r in hashed.groupBy("lang").count().collect()}
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))) for lang, n in sorted(counts.items())], F.lit(0.0)) if counts else F.lit(0.0)
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
     chosen = drawn.select("lang", "text").dropDuplicates().limit(2 * sample * max(1, len(counts)))
