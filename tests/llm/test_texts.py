@@ -109,6 +109,18 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(odd, none).where("predicted = 1").count() == 0
 
 
+def test_copies_leave_the_toxicity_sample_to_others(spark):
+    toxic = [f"la{k} grobnik lo{k} und dann" for k in range(40)] + ["la99 grobnik lo99 und"] * 2000
+    clean = [f"und dann la{k} lo{k} am{k}" for k in range(2100)] + ["und dann grobnyk"] * 500
+    rows = [(k, t, int(k < len(toxic))) for k, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), sample_toxic=50, sample_clean=3000)
+    # the copied toxic text leaves room for the others' contexts, and the copied clean text counts once against a misspelling
+    assert model["terms"] == ["grobnik"] and model["strict"] == frozenset()
+    whole = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), sample_toxic=5000, sample_clean=5000)
+    assert whole["strict"] == frozenset() and abs(whole["weights"] - model["weights"]).max() < 1e-6
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=1>Home</a></li></ul></nav><div class="ad">Buy</div><div class="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p><b>First&nbsp; line<br>two<p>Second <a href="x>y">link</a><!-- no --> end</p><form><p>name</p></form>

@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, materialize
 
-#: The most labelled training documents of either class (bounded, hash-ordered samples); tokens on either side of a find.
+#: The most distinct labelled training texts of either class (bounded, hash-ordered samples); tokens on either side of a find.
 SAMPLE_TOXIC, SAMPLE_CLEAN, WINDOW = 1500, 4000, 8
 #: Rules for a term: contexts it needs (at least, as a share of the toxic documents, and for each of its own documents, as copies of a
 #: passage repeat theirs), share of its documents that are toxic, lengths of stems, words a stem needs.
@@ -219,13 +219,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> dict:
     """The model of documents (doc_id, text) with labels (doc_id, toxic); rows with a null id or label aren't used.
 
-    At most `sample_toxic` and `sample_clean` labels are drawn, in the order of a hash of their ids, and their texts gathered
-    on the driver; the drawn ids are broadcast, which the two bounds limit.
+    At most `sample_toxic` and `sample_clean` distinct labelled texts are drawn, in the order of a hash of the text, and gathered
+    on the driver; the drawn rows' ids and hashes are broadcast, which the two bounds limit. Copies of a text count once.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, sample_toxic), (0, sample_clean))]
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("text", "toxic").limit(2 * (sample_toxic + sample_clean))
-    texts = [(r.text or "", r.toxic) for r in rows.toLocalIterator()]
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    distinct = materialize(hashed.join(known, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled")
+    drawn = [distinct.where(F.col("toxic") == y).orderBy("h").limit(n) for y, n in ((1, sample_toxic), (0, sample_clean))]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(drawn[0].unionByName(drawn[1])), ["doc_id", "h"])
+    rows = rows.dropDuplicates(["h", "toxic"]).select("text", "toxic").limit(sample_toxic + sample_clean)
+    # texts that differ in white space, case or punctuation alone are copies too
+    texts = list({(" ".join(tokens(r.text)), r.toxic): (r.text or "", r.toxic) for r in rows.toLocalIterator()}.values())
     terms, stems = learn_lexicon(texts)
     y = np.array([t for _, t in texts], float)
     if len(set(y.tolist())) < 2:
