@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from trialweave.streaming import live
@@ -44,6 +45,42 @@ def test_late_metadata_and_bad_batches(spark, tmp_path):
     assert sorted((r.trial, r.x) for r in state.results(spark).collect())[0] == (1, 3.0)
 
 
+def test_only_bad_trials_are_set_aside(spark, tmp_path):
+    meta = spark.range(1, 7).select(F.col("id").alias("trial"))
+    fails = lambda rows: rows.select("trial", F.when(F.col("v") < 0, F.raise_error(F.lit("bad trial")).cast("double")).otherwise(F.col("v")).alias("x"))
+    names = lambda rows: rows.select("trial", F.col("v").alias("x"), F.when(F.col("v") < 0, "negative").alias("error"))
+    for name, process in (("fails", fails), ("names", names)):
+        state = live.LiveState(str(tmp_path / name), lambda: meta, process)
+        for _ in range(2):  # a batch that is run again gives the same state
+            state(spark.createDataFrame([(t, -1.0 if t == 4 else 1.0) for t in range(1, 9)], "trial long, v double"), 0)
+        assert sorted(r.trial for r in state.results(spark).collect()) == [1, 2, 3, 5, 6]
+        assert [r.trial for r in state.failed(spark).collect()] == [4] and state.log
+        assert sorted(r.trial for r in spark.read.parquet(f"{tmp_path}/{name}/pending/batch=0").collect()) == [7, 8]
+
+
+def test_waiting_trials_outlast_a_bad_one(spark, tmp_path):
+    meta = [1]
+    process = lambda rows: rows.select("trial", F.col("v").alias("x"), F.when(F.col("v") < 0, "negative").alias("error"))
+    state = live.LiveState(str(tmp_path), lambda: spark.createDataFrame([(t,) for t in meta], "trial long"), process, retries=1)
+    batch = lambda *r: spark.createDataFrame(list(r), "trial long, v double")
+    state(batch((2, 2.0)), 0)
+    meta.append(2)
+    state(batch((1, -1.0)), 1)
+    state(batch((1, 3.0)), 2)
+    assert sorted((r.trial, r.x) for r in state.results(spark).collect()) == [(1, 3.0), (2, 2.0)]
+    assert [r.trial for r in state.failed(spark).collect()] == [1]
+
+
+def test_failures_of_the_job_are_raised(spark, tmp_path):
+    def process(rows):
+        raise RuntimeError("executor lost")
+
+    state = live.LiveState(str(tmp_path / "state"), lambda: spark.range(3).select(F.col("id").alias("trial")), process)
+    with pytest.raises(RuntimeError):
+        state(spark.createDataFrame([(1, 1.0)], "trial long, v double"), 0)
+    assert state.failed(spark) is None
+
+
 def test_files(spark, tmp_path):
     for name in ("s_12_mc.tif", "s_3_mc.tif", ".hidden_4_mc.tif", "notes.txt"):
         (tmp_path / name).write_bytes(b"x" * 10)

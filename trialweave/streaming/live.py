@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,6 +19,10 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 TRIAL_FILE, QUIET_SECONDS, RETRIES = r"_(\d+)_mc\.tif$", 3, 30
 #: Folders that the state is dealt to; a batch rewrites those of its trials only.
 BUCKETS = 64
+#: Bad trials of a batch beyond which the fault is taken to be the processing's, and raised.
+MOST_BAD = 100
+#: SQL states of errors that a row's values cause: data exceptions, raised errors, errors in functions written in Python.
+_DATA_ERROR = re.compile(r"SQLSTATE: (?:22|P0001|38|39)|PythonException")
 
 
 def trial_number(path) -> F.Column:
@@ -47,7 +52,9 @@ class LiveState:
     """Rows keyed by trial in `folder`: a batch replaces all rows of its trials, so a resent trial counts once.
 
     `metadata` gives the current table of trials (trial, ...), read again for each batch. Trials without a row there wait in
-    `pending` and are tried with later batches, up to `retries` times; then, and where `process` fails, they are listed in `failed`.
+    `pending` and are tried with later batches, up to `retries` times; then they are listed in `failed`. There too go the trials
+    that `process` gives an `error` (a text column, NULL for good rows), or for whose own rows it fails by their values; the batch's other new
+    trials count, and those that had waited wait for the next batch, without a try. Any other failure is raised, so that the batch is run again from the checkpoint. `process` treats trials apart.
     """
 
     folder: str
@@ -70,32 +77,69 @@ class LiveState:
         rows = self._table(spark, "results")
         return rows.drop("bucket") if rows is not None else None
 
+    def _processed(self, rows: DataFrame, bad: list[tuple], level: int = 0) -> list[DataFrame]:
+        """Written results of the rows; trials that fail by their values go to `bad`, found by halving the trials."""
+        try:
+            return [materialize(self.process(rows).withColumn("bucket", F.pmod(F.xxhash64("trial"), F.lit(self.buckets))), "processed")]
+        except Exception as e:
+            if not _DATA_ERROR.search(str(e)):
+                raise
+            trials = [r.trial for r in rows.select("trial").distinct().limit(2).collect()]
+            if len(trials) < 2:
+                bad += [(t, str(e)[:200]) for t in trials]
+                if len(bad) > MOST_BAD or not trials:
+                    raise
+                return []
+        side = F.pmod(F.shiftright(F.xxhash64("trial"), level), F.lit(2))
+        return self._processed(rows.where(side == 0), bad, level + 1) + self._processed(rows.where(side == 1), bad, level + 1)
+
+    def failed(self, spark: SparkSession) -> DataFrame | None:
+        """(trial, reason, batch) of the trials that were set aside."""
+        return self._table(spark, "failed")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """For foreachBatch; a batch that is run again gives the same state."""
         spark = batch.sparkSession
-        waiting = self._table(spark, "pending")
+        waiting = self._table(spark, f"pending/batch={batch_id - 1}")
         rows = batch.withColumn("tries", F.lit(0))
         if waiting is not None:
             rows = rows.unionByName(waiting.where(F.col("tries") < self.retries).withColumn("tries", F.col("tries") + 1))
         rows = materialize(rows, "arrived")
-        known = self.metadata().select("trial").distinct()
+        known = materialize(self.metadata().select("trial").distinct(), "known")
         late = materialize(rows.join(known, "trial", "left_anti"), "late")
-        late.where(F.col("tries") < self.retries).write.mode("overwrite").parquet(f"{self.folder}/pending")
-        late.where(F.col("tries") >= self.retries).select("trial", F.lit("no metadata").alias("reason")).distinct().write.mode("overwrite").parquet(f"{self.folder}/failed/batch={batch_id}")
-        try:
-            new = materialize(self.process(rows.join(known, "trial", "left_semi").drop("tries")).withColumn("bucket", F.pmod(F.xxhash64("trial"), F.lit(self.buckets))), "processed")
-        except Exception as e:  # a bad batch doesn't end the session
-            self.log.append((batch_id, str(e)[:500]))
-            rows.select("trial", F.lit(str(e)[:200]).alias("reason")).distinct().write.mode("overwrite").parquet(f"{self.folder}/failed/batch={batch_id}")
-            return
+        bad: list[tuple] = []
+        ready = materialize(rows.join(known, "trial", "left_semi"), "ready")
+        parts = self._processed(ready.drop("tries"), bad)
+        failed = late.where(F.col("tries") >= self.retries).select("trial", F.lit("no metadata").alias("reason")).distinct()
+        failed = failed.unionByName(spark.createDataFrame(bad, failed.schema))
+        self.log += [(batch_id, f"trial {t}: {reason}") for t, reason in bad]
+        new = wrong = None
+        for part in parts:
+            new = part if new is None else new.unionByName(part)
+        if new is not None and "error" in new.columns:
+            wrong = materialize(new.where("error is not null").groupBy("trial").agg(F.min("error").alias("reason")), "wrong")
+            self.log += [(batch_id, f"{n} trials with an error") for n in [wrong.count()] if n]
+            failed, new = failed.unionByName(wrong), new.join(wrong, "trial", "left_anti").drop("error")
+        failed.write.mode("overwrite").parquet(f"{self.folder}/failed/batch={batch_id}")
+        waits = late.where(F.col("tries") < self.retries)
+        if bad or wrong is not None and wrong.count():
+            again = ready.where("tries > 0").join(failed.select("trial"), "trial", "left_anti").join(ready.where("tries = 0").select("trial"), "trial", "left_anti")
+            again = materialize(again, "again")
+            waits = waits.unionByName(again.withColumn("tries", F.col("tries") - 1))
+            new = new.join(again.select("trial"), "trial", "left_anti") if new is not None else None
+        if new is not None:
+            self._merge(spark, materialize(new, "good"))
+        waits.write.mode("overwrite").parquet(f"{self.folder}/pending/batch={batch_id}")
+        if self.on_batch and new is not None:
+            self.on_batch(batch_id, self.results(spark))
+
+    def _merge(self, spark: SparkSession, new: DataFrame) -> None:
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
         old = self._table(spark, "results")
         if old is not None:
             kept = old.where(F.col("bucket").isin(touched)).join(new.select("trial").distinct(), "trial", "left_anti")
             new = materialize(new.unionByName(kept.select(new.columns)), "merged")
         new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/results")
-        if self.on_batch:
-            self.on_batch(batch_id, self.results(spark))
 
 
 def start(stream: DataFrame, state: LiveState, checkpoint: str, backlog_only: bool = False) -> StreamingQuery:

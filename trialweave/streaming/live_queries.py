@@ -19,7 +19,7 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials streamed into a keyed state; means and intervals of what has come."""
+    """Trials streamed into a keyed state; means and intervals of what has come. It fails if a trial was set aside."""
     folder = scratch_dir(spark, "live")
 
     def process(rows: DataFrame) -> DataFrame:
@@ -30,6 +30,9 @@ def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = live.LiveState(folder, lambda: B.stored(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial")), process)
     arrivals = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial"), (F.col("label") + 1).cast("long").alias("cond"), "embedding")
     live.start(arrivals, state, f"{folder}/checkpoint", backlog_only=True).awaitTermination()
+    aside = state.failed(spark)
+    if aside is not None and (n := aside.count()):
+        raise RuntimeError(f"{n} trials were set aside, among them {[tuple(r) for r in aside.select('trial', 'reason').limit(3).collect()]}")
     return T.mean_interval(state.results(spark), ["cond", "k"]).select("cond", "k", "n_cols", "n", *r6("mean", "sd", "lo", "hi", "ci_lo", "ci_hi"))
 
 
