@@ -84,6 +84,16 @@ def test_exact_dedup(spark):
     assert rows == [(0, 0, 1, True), (0, 3, 3, False), (0, 3, 3, False), (3, 3, 3, True), (5, 5, 2, True), (5, 5, 2, True)]
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(30,0)"])
+def test_exact_dedup_keeps_ids_as_they_are(spark, kind):
+    ids, big = [9007199254740993, 9007199254740995, None, 9007199254740997], 2**53
+    df = spark.createDataFrame(list(zip(ids, ["a", "a", "b", "c"])), SCHEMA).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = sorted((r.text_sha256, str(r.doc_id), str(r.keep_id), r.kept) for r in exact_dedup.deduplicate(df).collect())
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in "abc"}
+    want = [(sha["a"], str(big + 1), str(big + 1), True), (sha["a"], str(big + 3), str(big + 1), False), (sha["b"], "None", "None", True), (sha["c"], str(big + 5), str(big + 5), True)]
+    assert got == sorted(want)
+
+
 def test_exact_dedup_against_a_history(spark):
     history, new = docs(spark, ["a", "b", "b"], 1), docs(spark, ["b", "c", "c", "a ", None, "d"], 10)
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(new, history).collect()}

@@ -6,14 +6,15 @@ the full digest and the locator (doc_id) of the row that stays. A lookup compute
 digest, so a digest outside the history is never taken for a member; such nonmembers are grouped by themselves.
 
 Building the index groups by bucket (uniform, as digests are) after one row a digest has been aggregated; a
-group of copies, however large, reaches a bucket as one row. The lookup joins on the bucket, an ordinary sort-merge join
-whose hot partitions adaptive execution splits.
+group of copies, however large, reaches a bucket as one row, and the number of tasks goes by the number of digests. The lookup joins
+on the bucket, an ordinary sort-merge join whose hot partitions adaptive execution splits.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ from .common import materialize
 
 #: Keys a bucket holds on average, and keys of a sub-bucket that share a displacement.
 BUCKET_KEYS, SHARED_KEYS = 128, 4
-INDEX = "bucket long, dropped_bits int, shifts array<long>, slot_digest array<binary>, slot_winner array<long>, slot_rows array<long>"
+#: Digests that a task which builds buckets has on average.
+TASK_KEYS = 1 << 15
 
 
 def normalized(text):
@@ -43,47 +45,52 @@ def _place(h: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     n = h.shape[1]
     groups = max(1, -(-n // SHARED_KEYS))
     sub, a, b = h[0] % groups, h[1] % n, h[2] % n
-    shifts, slots, taken = np.zeros(groups, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    shifts, slots, taken, moves = np.zeros(groups, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.arange(n)
     members = [np.flatnonzero(sub == g) for g in range(groups)]
     for g in sorted(range(groups), key=lambda g: -len(members[g])):
         own = members[g]
-        if len(set(zip(a[own].tolist(), b[own].tolist()))) < len(own):
-            return None
-        for shift in range(n * n):
-            at = (a[own] + (shift // n) * b[own] + shift % n) % n
-            if not taken[at].any() and len(set(at.tolist())) == len(at):
+        for turn in range(n):  # a shift is a turn, which multiplies the third hash, and a move; all moves of a turn are tried at once
+            start = (a[own] + turn * b[own]) % n
+            if len(set(start.tolist())) < len(own):
+                continue
+            free = ~taken[(start[:, None] + moves) % n].any(0)
+            move = int(free.argmax())
+            if free[move]:
                 break
         else:
             return None
-        shifts[g], slots[own] = shift, at
-        taken[at] = True
+        shifts[g], slots[own] = turn * n + move, (start + move) % n
+        taken[slots[own]] = True
     return shifts, slots
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The index row of one bucket. Where the hashes don't separate its keys, their upper bits are tried."""
-    h = pdf[["h1", "h2", "h3"]].to_numpy(np.int64).T
+def _index_schema(doc_id: str) -> str:
+    return f"bucket long, dropped_bits int, shifts array<long>, slot_digest array<binary>, slot_winner array<{doc_id}>, slot_rows array<long>"
+
+
+def _build(keys: pa.Table) -> pa.Table:
+    """The index row of one bucket. Where the hashes don't separate its keys, their upper bits are tried. Ids stay Arrow values, nulls too."""
+    h = np.stack([keys.column(c).to_numpy() for c in ("h1", "h2", "h3")])
     drop, found = next((d, f) for d in range(45) if (f := _place(h >> d)))
-    order = np.argsort(found[1])
-    return pd.DataFrame({
-        "bucket": [int(pdf["bucket"].iloc[0])],
-        "dropped_bits": [drop],
-        "shifts": [found[0].tolist()],
-        "slot_digest": [pdf["digest"].iloc[order].tolist()],
-        "slot_winner": [[None if pd.isna(x) else int(x) for x in pdf["winner"].iloc[order]]],
-        "slot_rows": [pdf["rows"].iloc[order].astype("int64").tolist()],
-    })
+    by_slot = keys.select(["digest", "winner", "rows"]).take(pa.array(np.argsort(found[1]))).combine_chunks()
+    whole = lambda c: pa.ListArray.from_arrays([0, keys.num_rows], by_slot.column(c).combine_chunks())
+    return pa.table({
+        "bucket": pc.cast(keys.column("bucket").slice(0, 1), pa.int64()), "dropped_bits": pa.array([drop], pa.int32()), "shifts": pa.array([found[0].tolist()], pa.list_(pa.int64())),
+        "slot_digest": whole("digest"), "slot_winner": whole("winner"), "slot_rows": whole("rows")})
 
 
 def build_index(digests: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
     """The index of a history (doc_id, digest) and its number of buckets.
 
-    A group's winner is its smallest doc_id; null ids never win against others. Repeated rows count.
+    A group's winner is its smallest doc_id, of any type that can be ordered; null ids never win against others. Repeated rows count.
     """
     groups = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("rows")), "digest-groups")
-    buckets = buckets or max(1, groups.count() // BUCKET_KEYS)
+    n = groups.count()
+    buckets = buckets or max(1, n // BUCKET_KEYS)
     keyed = groups.select("digest", "winner", "rows", (_hash(0) % buckets).alias("bucket"), *[_hash(k).alias(f"h{k}") for k in (1, 2, 3)])
-    return materialize(keyed.groupBy("bucket").applyInPandas(_build, INDEX), "digest-index"), buckets
+    # a number of its own, as rows are small and adaptive execution would gather too many buckets in a task
+    dealt = keyed.repartition(-(-n // TASK_KEYS) or 1, "bucket")
+    return materialize(dealt.groupBy("bucket").applyInArrow(_build, _index_schema(dict(digests.dtypes)["doc_id"])), "digest-index"), buckets
 
 
 def lookup(digests: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
@@ -100,7 +107,8 @@ def lookup(digests: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
 def deduplicate(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
-    `docs` and `history` have doc_id and text; other columns are ignored. Without a history, `docs` is its own: the
+    `docs` and `history` have doc_id (of one type) and text; other columns are ignored. Without a history, `docs` is its own, as where one
+    table is to be freed of its repetitions: the digests of all its rows are indexed, every row is looked up, none is a nonmember, and the
     row with the smallest doc_id of equal texts stays. With one, every text that the history has is
     dropped in favour of the history's winner (group_size counts the history's rows), and the rest is grouped
     separately. Null text counts as empty; rows that repeat both text and the winning doc_id get equal flags; a null doc_id stays only
