@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -154,6 +156,62 @@ def test_density_rules_decide_beside_markup():
     assert html_text.main_text(f"<article><p>{other}</p></article>") == other
 
 
+LONG = "It was the first of the days when all of us had been in the town, and what we saw there was not what they had said to us before we left, so that we were glad to have gone with them after all."
+MORE = "The others were at the river by then, for it is not far from the old mill to where the road and the water meet, and they had with them all that we would need for the rest of the week and more."
+SHORT = "We did not stay."
+HOSTILE = "9" * 60
+#: Pages and the lines of their main text.
+CASES = {
+    "head without an end": (f"<html><head><title>x</title><body><article><p>{LONG}</p></article>", [LONG]),
+    "no html or body": (f"<title>x</title><p>{LONG}<p>{MORE}", [LONG, MORE]),
+    "digits in a name": (f'<div class="ad-{HOSTILE}">{SHORT}</div><article><p>{LONG}</p></article>', [LONG]),
+    "quote that isn't closed": (f'<article><p>{LONG} <a href="x>y</a></p><p>{MORE}</p></article>', [f"{LONG} y", MORE]),
+    "quotes of a kind": (f"<article><p title='>\"'>{LONG}</p></article>", [LONG]),
+    "a lead in an article, the body beside it": (f"<article><p>{SHORT}</p></article><div>{LONG}</div><div>{MORE}</div>", [SHORT, LONG, MORE]),
+    "content on one of two boxes": (f'<div class="content"><p>{LONG}</p></div><div><p>{MORE}</p></div><div><p>{LONG}</p></div>', [LONG, MORE, LONG]),
+    "a doubtful name on prose": (f'<article><p>{LONG}</p><div class="more"><p>{MORE}</p></div></article>', [LONG, MORE]),
+    "a doubtful name on links": (f'<article><p>{LONG}</p><div class="related"><a href=1>One of them</a> <a href=2>Two</a></div></article>', [LONG]),
+    "menu that isn't closed": (f"<nav><a href=1>Home</a><article><p>{LONG}</p></article>", [LONG]),
+    "anchors that aren't closed": (f'<div><a name="top">{LONG}</div><div><a id=k>{MORE}</div>', [LONG, MORE]),
+    "a link around a block": (f'<article><p>{LONG}</p><a href="/x"><div>Read the next one of these stories in the list below today</div></a></article>', [LONG]),
+    "an advert in prose": (f'<article><p>{LONG}</p><div class="ad">{MORE}</div><p>{MORE}</p></article>', [LONG, MORE]),
+    "reader comments": (f'<article><p>{LONG}</p></article><section id="comments"><p>{MORE}</p></section>', [LONG]),
+    "footer that isn't closed": (f"<article><p>{LONG}</p></article><footer>{MORE}", [LONG]),
+    "drawing in a line": (f"<article><p>It is <svg><text>no</text><svg></svg></svg>here. {LONG}</p></article>", [f"It is here. {LONG}"]),
+    "items and cells": (f"<article><p>{LONG}</p><ul><li>one<li class=ad>two<li>three</ul><table><tr><td>a<td>b</table></article>", [LONG, "one", "three", "a", "b"]),
+    "references": (f"<article><p>a &lt;b&gt; &#233;&amp;amp; &nbsp; c {LONG}</p></article>", [f"a <b> é&amp; c {LONG}"]),
+    "scripts with tags": (f"<article><script>if (a</b) '<p>x</p>'</script><p>{LONG}</p><style>p > a {{}}</style></article>", [LONG]),
+    "hidden parts": (f'<article><p hidden>{MORE}</p><p style="Display : none">{MORE}</p><p aria-hidden=true>{MORE}</p><p>{LONG}</p></article>', [LONG]),
+    "open tags, comments and stray signs": (f"<article><p>1 < 2 <!-- {MORE} --> <!doctype x> </ > <?php x ?>{LONG}</p></article></div></p>", [f"1 < 2 {LONG}"]),
+    "end of a page within a tag": (f"<article><p>{LONG}</p></article><div class='x", [LONG]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_main_text_of_pages(name):
+    page, lines = CASES[name]
+    assert html_text.main_text(page).split("\n") == lines
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a x="', "<div>", "<!--", "<svg>", "<a href=x>", "<", "</", "<p class=ad-1", "</x>", "&", "<div a=b "])
+def test_hostile_pages_take_linear_time(part):
+    began = time.time()
+    html_text.main_text(part * 20_000 + "</x>" * 20_000)
+    html_text.main_text(f"<div class='{part * 5000}'>x")
+    assert time.time() - began < 3
+
+
+def test_both_passes_decide_blocks_of_pages(spark):
+    counts = Counter()
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").select("html").collect():
+        found = html_text.blocks(r.html)
+        labels, _ = html_text.first_pass(found)
+        counts["excluded"] += sum(standing == html_text.EXCLUDED for _, standing, _ in found)
+        counts["first"] += sum(x is not None and standing != html_text.EXCLUDED for (_, standing, _), x in zip(found, labels))
+        counts["second"] += sum(x is None for x in labels)
+    assert min(counts.values()) > 100 and len(counts) == 3
+
+
 def test_warc(spark, tmp_path):
     big, other = "é" * 60, "x" * 200
     rows = [(5, "u5", big), (3, "u3\r\nX: y", big), (9, None, big), (1, "a", "small"), (2, "b", "small"), (4, "c", None), (6, "d", ""), (7, "e", other), (None, "f", other), (8, "g", "line\r\n\r\nWARC-Type: fake\r\n" * 9)]

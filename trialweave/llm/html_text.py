@@ -1,15 +1,20 @@
 """Main text of HTML pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides a block where it can: parts that a page's
-markup names (menus, headers, footers, forms, adverts, comments, ...) are boilerplate; of all others the share of link
-characters, the share of stop words and the length decide, with thresholds that are easier inside what the markup names an article and
-harder outside it. Short blocks without such evidence stay open; the second pass gives them the label of the nearest decided blocks around them.
+A page is cut into blocks at block-level tags. The first pass decides a block where it can: elements that are no article text by what they are
+(menus, headers, footers, forms, scripts, ...) or by a plain name (adverts, notices, comments) are boilerplate; of all others the share of link
+characters, the share of stop words and the length decide, with thresholds that are easier inside what the markup names an article, and
+harder outside it and where a name raises doubts. Short blocks without such evidence stay open; the second pass gives them the label of the
+nearest decided blocks around them.
+
+Pages are read in one pass whose time grows with their length, whatever is unclosed or nested.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,57 +33,97 @@ STOP_WORDS = frozenset(
     "al como con de del el ella en era es esta este ha la las lo los más me no o para pero por que se sin sobre su sus también un una y ya "
     "che da dei della di e gli il non per sono um uma não os do dos na nas em het een van niet zijn".split()
 )
-#: HTML elements that start and end blocks, that have no content of their own, and those whose content is never text.
+#: HTML elements that start and end blocks, that have no content of their own, whose content is characters only, whose content
+#: is left out without ending a block, those of their kind that end one another, and those whose content is never article text.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|video|audio|textarea|title|select|button|head"
-NEVER = frozenset("nav header footer aside form menu dialog search fieldset button select option optgroup label legend textarea title head script style noscript template iframe object svg math canvas video audio".split())
+CHARACTERS = frozenset("script style textarea title xmp iframe noembed noframes".split())
+SKIPPED = frozenset("noscript template object svg math canvas video audio select button".split())
+SERIES = frozenset("li dt dd tr td th option".split())
+NEVER = frozenset("nav header footer aside form menu dialog search fieldset option optgroup label legend".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
-_BAD = (
-    "ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navs|navbar|navigation|menus?|breadcrumbs?|header|masthead|topbar|footer|"
-    "sidebars?|side|rail|widgets?|related|recommended|recommendations|more|share|sharing|social|cookies?|consent|gdpr|notices?|notifications?|alerts?|disclaimer|copyright|legal|"
-    "popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|search|forms?|comments?|discussion|disqus|replies|reply|respond|pagination|pager|paging|tags|toolbar|skip|hidden"
-)
-#: A class or id is one of these names alone, or with parts that only say what kind of box it is.
-_BAD_NAME = re.compile(rf"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|user|reader|js|the|google|text|article|post|blog)[-_]?)?(?:{_BAD})(?:[-_]?(?:bar|box|container|wrapper|wrap|inner|outer|list|item|items|area|block|section|content|body|text|slot|unit|links?|menu|message|msg|form|panel|thread|top|bottom|left|right|main|page|site|\d+))*", re.I)
-_GOOD_NAME = re.compile(r"(?:article|post|story|entry)(?:[-_]?(?:content|body|text|main))?|(?:main|page|body)[-_]?(?:content|text|body)|content|articlebody", re.I)
-_PIECES = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.I | re.S)
-_ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Names of parts that are no article text, names that only raise doubts, and those that say what kind of box it is. A class or id is
+#: such a name if its words are, but for leading words of place.
+PLAIN = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners nav navs navbar navigation menu menus breadcrumb "
+    "breadcrumbs header masthead topbar footer sidebar sidebars widget widgets cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal modals newsletter "
+    "newsletters subscribe subscription signup login search form forms comment comments disqus replies reply respond pagination pager paging hidden".split())
+DOUBTFUL = frozenset("side rail related recommended recommendations more share sharing social disclaimer copyright legal overlay discussion tags toolbar skip".split())
+PLACES = frozenset("site page main top bottom left right global primary secondary user reader js the google text article post blog".split())
+BOXES = frozenset("bar box container wrapper wrap inner outer list item items area block section content body text slot unit link links menu message msg form panel thread top bottom left right main page site".split())
+GOOD = frozenset("article post story entry".split())
+GOOD_BOXES = frozenset("content body text main".split())
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
-#: What an element makes of its content.
-TEXT, BOILERPLATE, OPEN = 1, -1, 0
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(\s*=\s*)?)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_END_TAG, _LINK_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)"), re.compile(r"<(/?)a(?=[\s/>])", re.I)
+_OF_USE = frozenset("class id role hidden aria-hidden style itemprop href name".split())
+#: What an element makes of its content; EXCLUDED parts are never text.
+TEXT, OPEN, BOILERPLATE, EXCLUDED = 1, 0, -1, -2
+
 
+@functools.lru_cache(4096)
+def _named(value: str) -> int:
+    """What a class or id says; its digits and separators don't matter."""
+    words = [w.lower() for w in _NAME_WORDS.findall(value[:80])]
+    if words in (["content"], ["articlebody"]) or words and len(words) <= 2 and words[0] in GOOD and all(w in GOOD_BOXES for w in words[1:]):
+        return TEXT
+    if len(words) == 2 and words[0] in ("main", "page", "body") and words[1] in ("content", "text", "body"):
+        return TEXT
+    # parts written together, as in navbox
+    words = [x for w in words for x in ([w] if w in PLAIN or w in DOUBTFUL else next(([w[:k], w[k:]] for k in range(2, len(w) - 1) if w[:k] in PLAIN and w[k:] in BOXES or w[:k] in PLACES and w[k:] in PLAIN), [w]))]
+    while len(words) > 1 and words[0] in PLACES and words[1] in PLAIN | DOUBTFUL | PLACES:
+        words.pop(0)
+    if not words or not all(w in PLAIN or w in DOUBTFUL or w in BOXES for w in words[1:]):
+        return OPEN
+    return EXCLUDED if words[0] in PLAIN else BOILERPLATE if words[0] in DOUBTFUL else OPEN
 
-def _standing(tag: str, attributes: str) -> int:
+
+def _standing(tag: str, attributes: dict[str, str]) -> int:
+    """What an element is by itself: by its kind, its role, and the strongest of its names."""
     if tag in NEVER:
-        return BOILERPLATE
-    good = tag in ("article", "main")
-    if attributes:
-        for name, value in _ATTRIBUTES.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "role":
-                if value.lower() in ROLES:
-                    return BOILERPLATE
-                good |= value.lower() in ("main", "article")
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
-                return BOILERPLATE
-            elif name in ("class", "id") and tag not in ("article", "main", "body", "html"):
-                if any(_BAD_NAME.fullmatch(x) for x in value.split()):
-                    return BOILERPLATE
-                good |= any(_GOOD_NAME.fullmatch(x) for x in value.split())
-            elif name == "itemprop":
-                good |= value.lower() == "articlebody"
-    return TEXT if good else OPEN
+        return EXCLUDED
+    found = TEXT if tag in ("article", "main") else OPEN
+    doubt = False
+    for name, value in attributes.items():
+        if name == "role":
+            if value.lower() in ROLES:
+                return EXCLUDED
+            if value.lower() in ("main", "article"):
+                found = TEXT
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
+            return EXCLUDED
+        elif name in ("class", "id") and tag not in ("article", "main", "body", "html"):
+            for x in value.split():
+                said = _named(x)
+                if said == EXCLUDED:
+                    return EXCLUDED
+                doubt |= said == BOILERPLATE
+                found = max(found, said)
+        elif name == "itemprop" and value.lower() == "articlebody":
+            found = TEXT
+    return BOILERPLATE if doubt and found == OPEN else found
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int]]:
-    """(text, standing, link characters) of the blocks in order; white space inside is one space, references are decoded."""
+    """(text, standing, link characters) of the blocks in order; white space inside is one space, references are decoded.
+
+    A tag ends at the first > outside quoted values; a quote that isn't closed counts as a character. Comments, scripts and the like that aren't
+    closed take the rest of the page; an element that excludes its content and isn't closed excludes nothing, but for footers. A paragraph ends
+    at the next block, an item of a series at the next one, an element at the end of one around it.
+    """
+    page = page or ""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
     standing = OPEN
     parts: list[str] = []
-    links = depth = 0
+    links, linked, at, size = 0, False, 0, len(page)
+    last = {m[1].lower(): m.start() for m in _END_TAG.finditer(page)}
+    absent: set[str] = set()  # quotes that don't come any more
 
     def flush():
         nonlocal links
@@ -88,49 +133,110 @@ def blocks(page: str | None) -> list[tuple[str, int, int]]:
             parts.clear()
         links = 0
 
-    for m in _PIECES.finditer(page or ""):
-        raw, closing, tag, attributes, text = m.groups()
-        if text is not None:
-            if "&" in text:
-                text = html.unescape(text)
-            parts.append(text)
-            if depth:
-                links += len(text.strip())
-            continue
-        if not tag:  # a comment joins what stands beside it; raw content parts blocks only where its element does
-            if raw and raw.lower() in BLOCK:
-                flush()
+    def take(text: str):
+        nonlocal links
+        if "&" in text:
+            text = html.unescape(text)
+        parts.append(text)
+        if linked:
+            links += len(text.strip())
+
+    def pop():
+        nonlocal standing
+        opened[stack.pop()[0]] -= 1
+        if standing != (outer := stack[-1][1] if stack else OPEN):
+            flush()
+            standing = outer
+
+    def after(text: str, start: int) -> int:
+        return size if (k := page.find(text, start)) < 0 else k + len(text)
+
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            take(page[at:lt])
+        if lt == size:
+            break
+        m = _TAG.match(page, lt)
+        if m is None:
+            if page.startswith("<!--", lt):
+                at = lt + 5 if page.startswith("<!-->", lt) else after("-->", lt + 4)
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                at = after(">", lt + 2)
+            else:
+                take("<")
+                at = lt + 1
             continue
-        tag = tag.lower()
-        if tag == "a":
-            depth = 0 if closing else 1
+        closing, tag, at = m[1], m[2].lower(), m.end()
+        attributes: dict[str, str] = {}
+        slash = False
+        while at < size:
+            a = _ATTRIBUTE.match(page, at)
+            at = a.end()
+            if a[1] is None:
+                slash = page[a.start() : at].endswith("/")
+                break
+            value = ""
+            if a[2]:
+                quote = page[at : at + 1]
+                end = -1
+                if quote in ('"', "'") and quote not in absent:
+                    if (end := page.find(quote, at + 1)) < 0:
+                        absent.add(quote)
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = _UNQUOTED.match(page, at)
+                    value, at = v[0].strip("\"'"), v.end()
+            if (name := a[1].lower()) in _OF_USE:
+                attributes.setdefault(name, value)
+        at += 1  # past the >
+        if tag == "a":  # an anchor is no link
+            near = None if closing or "href" not in attributes and not {"name", "id"}.isdisjoint(attributes) else _LINK_TAG.search(page, at)
+            linked = near is not None and near[1] == "/"
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK:
             flush()
-            if not closing and tag == "p":  # a paragraph ends an open one
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                    standing = stack[-1][1] if stack else OPEN
+        if closing:
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            continue
         if tag in EMPTY:
             continue
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if (before := standing) != (after := stack[k - 1][1] if k else OPEN):
-                        flush()
-                    del stack[k:]
-                    standing = after if before != after else before
-                    break
-        elif not attributes.endswith("/"):
-            own = _standing(tag, attributes)
-            if tag in BLOCK or own == BOILERPLATE:
-                # nothing below boilerplate is text; boilerplate inside an article stays out
-                new = BOILERPLATE if standing == BOILERPLATE or own == BOILERPLATE else own or standing
-                if new != standing:
-                    flush()
-                    standing = new
-                stack.append((tag, standing))
+        if tag in CHARACTERS:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at) if tag in last else None
+            at = after(">", end.end()) if end else size
+            continue
+        if slash:
+            continue
+        if tag in SKIPPED:
+            if last.get(tag, -1) >= at:
+                depth = 1
+                for e in re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).finditer(page, at):
+                    depth += -1 if e[1] else 1
+                    at = e.end()
+                    if not depth:
+                        break
+                at = after(">", at)
+            continue
+        if tag in BLOCK and stack and (stack[-1][0] == "p" or tag in SERIES and stack[-1][0] == tag):
+            pop()
+        own = _standing(tag, attributes)
+        if own == EXCLUDED and tag != "footer" and last.get(tag, -1) < at and tag not in SERIES and tag != "p":
+            own = BOILERPLATE
+        if tag in BLOCK or own == EXCLUDED:
+            # nothing below an excluded element is text, and what raises doubts stays doubtful
+            new = EXCLUDED if EXCLUDED in (standing, own) else BOILERPLATE if BOILERPLATE in (standing, own) else own or standing
+            if new != standing:
+                flush()
+                standing = new
+            stack.append((tag, standing))
+            opened[tag] += 1
     flush()
     return out
 
@@ -152,21 +258,27 @@ def _first(size: int, links: int, stop: float, prior: int, usual: float) -> bool
     return stop >= STOP_HIGH or stop >= STOP_LOW and size >= LONG
 
 
-def decide(page: list[tuple[str, int, int]]) -> list[bool]:
-    """Which blocks are main text: the rules decide on all that markup doesn't exclude; an article's name moves their thresholds.
+def first_pass(page: list[tuple[str, int, int]]) -> tuple[list[bool | None], bool]:
+    """Labels of the blocks that the rules decide, None for the open ones, and whether text is looked for outside named articles too.
 
     What stands outside a named article has the thresholds of a page without one if it holds more text than the article does.
     """
     counted = []
     for text, standing, _ in page:
-        words = _WORDS.findall(text.lower()) if standing != BOILERPLATE else []
+        words = _WORDS.findall(text.lower()) if standing != EXCLUDED else []
         counted.append((sum(w in STOP_WORDS for w in words), len(words)))
     shares = [stop / max(1, n) for stop, n in counted]
     inside = [k for k, (_, standing, _) in enumerate(page) if standing == TEXT]
     usual = sum(counted[k][0] for k in inside) / max(1, sum(counted[k][1] for k in inside))
     outer = sum(len(text) for (text, standing, links), stop in zip(page, shares) if standing == OPEN and _first(len(text), links, stop, OPEN, 0.0))
-    outside = BOILERPLATE if inside and outer <= sum(len(page[k][0]) for k in inside) else OPEN
-    labels = [False if standing == BOILERPLATE else _first(len(text), links, stop, standing or outside, usual) for (text, standing, links), stop in zip(page, shares)]
+    everywhere = not inside or outer > sum(len(page[k][0]) for k in inside)
+    prior = lambda standing: standing or (OPEN if everywhere else BOILERPLATE)
+    return [False if standing == EXCLUDED else _first(len(text), links, stop, prior(standing), usual) for (text, standing, links), stop in zip(page, shares)], everywhere
+
+
+def decide(page: list[tuple[str, int, int]]) -> list[bool]:
+    """Which blocks are main text: the rules decide on all that markup doesn't exclude; an article's name moves their thresholds."""
+    labels, everywhere = first_pass(page)
     out = list(labels)
     # the second pass; parts that markup excludes inside an article (adverts, forms) say nothing of the article's blocks
     for own in (True, False):
@@ -180,15 +292,16 @@ def decide(page: list[tuple[str, int, int]]) -> list[bool]:
                 nxt = next(after, None)
             if x is not None or own != (page[k][1] == TEXT):
                 continue
+            easy = own or everywhere and page[k][1] == OPEN
             if before is None or nxt is None:
                 near = before if nxt is None else nxt
                 # a page of short blocks alone is text; outside an article a block must have text on both sides
-                out[k] = (near is None or labels[near]) and (own or outside == OPEN)
+                out[k] = (near is None or labels[near]) and easy
             elif labels[before] == labels[nxt]:
                 out[k] = labels[before]
             else:  # between text and boilerplate the nearer side counts, of equally near ones the text, or what the markup says
                 gap = (k - before) - (nxt - k)
-                out[k] = labels[before] if gap < 0 else labels[nxt] if gap > 0 else own or outside == OPEN
+                out[k] = labels[before] if gap < 0 else labels[nxt] if gap > 0 else easy
     return out
 
 
@@ -200,8 +313,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of (page_id, url, html), whole pages.
 
-    A null or empty html and one without text give an empty text. Markup that isn't closed ends with the page. Repeated rows are
-    extracted alike; nulls in other columns stay; columns beyond these three are ignored.
+    A null or empty html and one without text give an empty text. Scripts, comments and the like that aren't closed take the rest of the page;
+    other unclosed markup loses no text (see `blocks`). Repeated rows are extracted alike, rows are independent, nulls in other columns stay,
+    columns beyond these three are ignored, and an empty table gives no rows.
     """
 
     def make():
