@@ -1,5 +1,6 @@
 """Language, toxicity, HTML, WARC, SentencePiece and personal data."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -281,7 +282,7 @@ def base_spans(t):
 def test_personal_data(spark):
     rng = random.Random(3)
     parts = ["a@b.c", "x@y.zz_q@w.com", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0000000001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (499) 555-6503", "+12", "@", ".", "é🙂", " ", "-", "word", "99999999999999999999", "+44 20 7946 0958", "a.b@c"]
-    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14))) for _ in range(700)] + [None, "", "9" * 30_000, "a" * 100_000 + " q@w.e", "1 " * 4000, "1." * 4000]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14))) for _ in range(700)] + [None, "", "9" * 30_000, "a" * 100_000 + " q@w.e", "1 " * 4000, "1." * 4000, "+1" + " " * 50_000 + "234567890", "+12 " * 9000, "12-  3456--78901 2-3" * 50, "1-" * 16 + "+" + "3." * 15]
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumn("base", F.lit("clash")).withColumn("kind", F.lit(1))
     found = pii.matches(docs.select("doc_id", "text"))
     model = pii.fit(found)
@@ -297,6 +298,56 @@ def test_personal_data(spark):
     assert pii.find(docs.limit(0), model).count() == 0
 
 
+def test_places_of_many_matches(spark):
+    texts = ["7 1.2.3.4,é " * n for n in (1, 63, 64, 65, 129, 4095, 4096, 4097, 9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    for r in pii.find(docs, None).collect():
+        assert [(s.begin, s.kind, s.end) for s in r.base] == [(12 * k + 2, 1, 12 * k + 9) for k in range(len(texts[r.doc_id]) // 12)]
+
+
+def test_very_many_numbers_take_linear_time(spark):
+    rng = random.Random(1)
+    forms = ["12, ", "(555) 123-4567, ", "4111 1111 1111 1111; ", "1.2.3.999, ", "a@b.co ", "+12 "]
+    model = {"trees": {"bias": 1.0, "rate": 0.1, "trees": [(1, 12.0, 0.1, 0.2)]}, "slope": 1.0, "offset": 0.0, "least": [2.0, 2.0, 2.0, 0.5]}
+    took = {}
+    for n in (100, 8_000, 32_000):
+        text = "".join(rng.choice(forms) for _ in range(n))
+        found = pii.find(spark.createDataFrame([(1, text)], SCHEMA), model)
+        began = time.time()
+        r = found.select("base", "spans").first()
+        took[n] = time.time() - began
+        base = base_spans(text)
+        more = [m.span() for m in re.finditer(pii.MORE["phone"], text)]
+        ends = sorted((b, e) for b, _, e in base)
+        free = [(b, e) for b, e in more if not any(x < e and b < y for x, y in ends[max(0, bisect.bisect(ends, (b, 0)) - 3) : bisect.bisect(ends, (e, 0)) + 1])]
+        assert [(x.begin, x.kind, x.end) for x in r.base] == base and [(x.begin, x.end) for x in r.spans if x.score < 1] == free
+    assert took[32_000] < 8 * took[8_000] + 5
+
+
+def test_planted_candidates_are_selected(spark):
+    """Announced formats are learnt and then found where nothing announces them; formats that nothing announces are left alone."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    filler = lambda: " ".join(rng.choice("lo ra mi tu sen dor vak pel".split()) for _ in range(20))
+    good = {"phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "email": lambda: f"lo{digits(3)} [at] mi{digits(2)}.ex"}
+    cues = {"phone": "call ", "email": "write to "}
+    texts, planted = [], []
+    for _ in range(1500):
+        kind = rng.choice(["phone", "email"])
+        value = good[kind]()
+        head = f"{filler()} {cues[kind] if rng.random() < 0.95 else ''}"
+        texts.append(f"{head}{value} {filler()} {digits(3)} {digits(3)} {digits(4)} {filler()} 4111 1111 1111 1111 a@b.co")
+        planted.append((pii.KINDS.index(kind), len(head), len(head) + len(value)))
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = common.materialize(pii.matches(docs), "matches")
+    model = pii.fit(found)
+    added = {r.doc_id: [(s.kind, s.begin, s.end) for s in r.spans if s.score < 1] for r in pii.select(found, model).select("doc_id", "spans").collect()}
+    hits = sum(planted[k] in got for k, got in added.items())
+    assert hits / len(texts) > 0.95 and hits / sum(map(len, added.values())) > 0.95
+    without = pii.fit(found.withColumn("found", F.transform("found", lambda x: x.withField("cue", F.lit(False)))))
+    assert pii.select(found, without).where("size(spans) > size(base)").count() == 0
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.co, 1.2.3.4!"), (2, None)], SCHEMA)
     got = {r.doc_id: r.text for r in pii.redact(pii.find(docs, None)).collect()}
