@@ -151,6 +151,47 @@ def test_near_dedup(spark, size):
     assert got == components(texts, size)
 
 
+@pytest.mark.parametrize("own", [4, 8, 12, 20])
+def test_near_dedup_of_a_template(spark, own):
+    """Pages of shared and own words, some in pairs or groups of near copies, about the similarity of a link; all buckets are crowded."""
+    rng = random.Random(own)
+    shared = [f"s{k}" for k in range(80 - own)]
+    texts = []
+    for k in range(240):
+        page = shared[: 40 - own // 2] + [f"w{rng.randint(0, 4000)}" for _ in range(own)] + shared[40 - own // 2 :]
+        texts += [" ".join(page)] + [edited(rng, page, s) for s in (0.01, 0.03, 0.05)[: rng.choice([0, 0, 1, 3])]]
+    texts += [" ".join(shared)]
+    want = components(texts, 2)
+    for crowd in (4, 10_000):
+        assert {r.doc_id: tuple(r)[1:] for r in near_dedup.classes(docs(spark, texts), 2, crowd=crowd).collect()} == want
+
+
+def test_rare_shingles_lose_no_link(spark):
+    rng = random.Random(9)
+    base = [rng.sample(range(300), 40) for _ in range(6)]
+    sets = {k: sorted({x if rng.random() < 0.93 else rng.randint(0, 2000) for x in rng.choice(base)}) for k in range(150)}
+    df = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    nodes = df.select("node", F.col("node").alias("comp"), F.size("shingles").alias("n"))
+    rare = near_dedup.rare_shingles(df, nodes).cache()
+    own = rare.groupBy("node").agg(F.count(F.lit(1)).alias("r"))
+    found = {(r.a, r.b) for r in near_dedup.sharing_rare(rare, own, 80).collect()}
+    r = {**dict.fromkeys(sets, 0), **{x.node: x.r for x in own.collect()}}
+    links = {(a, b) for a in sets for b in sets if a > b and 100 * len(i := {*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert len(links) > 20
+    for a, b in links - found:
+        rest = min(len(sets[a]) - r[a], len(sets[b]) - r[b])
+        assert max(r[x] / len(sets[x]) for x in (a, b)) <= 0.2 and 100 * rest >= 80 * (rest + r[a] + r[b])
+
+
+def test_near_dedup_of_long_texts_and_other_ids(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 100_000)}" for _ in range(60_000)]
+    texts = [" ".join(base), edited(rng, base, 0.03), "short one", " ".join(base[:50_000]), "short one"]
+    df = docs(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.classes(df, 2).collect()}
+    assert got == {f"d{i}": (f"d{c}", k) for i, (_, c, k) in components(texts, 2).items()}
+
+
 def test_near_dedup_edges(spark):
     assert near_dedup.classes(docs(spark, [])).count() == 0
     assert near_dedup.classes(docs(spark, [None, ""])).where("kept").count() == 2

@@ -8,6 +8,11 @@ similarity that the registers estimate, less six standard deviations, and by the
 all but certain, which full sets then confirm. Pairs of one class are never made, so a group of copies or near copies makes rows in
 proportion to its size.
 
+Pages of one template share bands, though most of them aren't alike. Buckets with more than CROWD members are therefore thinned first by rare shingles,
+those of at most RARE of the nodes in such buckets: two nodes that share one are proposed for that, and counting what they share prunes them; of two
+that share none, both have all their rare shingles to themselves, so a node whose rare shingles are more than a fifth of its set can't be linked with
+any of them and leaves the bucket, and others are compared only if the rest would suffice. Both steps lose no link.
+
 A pair at a similarity of 0.8 shares none of the 32 bands with a probability of 5e-8.
 """
 
@@ -21,9 +26,9 @@ from pyspark.sql import functions as F
 from . import shingles as S
 from .common import map_rows, materialize, sized_ids
 
-#: Shingles of two sets that may agree though the upper halves of their hashes don't count them.
-HALF_SLACK = 3
-SKETCH = "doc_id long, n_shingles long, set_key binary, permuted array<long>, bucketed array<long>"
+#: Members from which on a bucket is thinned by rare shingles, and in how many nodes of such buckets these are at most.
+CROWD, RARE = 64, 8
+SKETCH = "n_shingles long, set_key binary, permuted array<long>, bucketed array<long>"
 
 
 def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -38,7 +43,7 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
 
         return one
 
-    return map_rows(docs.select("doc_id", "text"), make, SKETCH)
+    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, {SKETCH}")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -46,7 +51,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
         shingler = S.Shingler(size)
         return lambda doc_id, text: (doc_id, shingler.set_of(text).view("int64").tolist())
 
-    return map_rows(docs.select("doc_id", "text"), make, "node long, shingles array<long>")
+    return map_rows(docs.select("doc_id", "text"), make, f"node {dict(docs.dtypes)['doc_id']}, shingles array<long>")
 
 
 def estimated(a: Column, b: Column, na: Column, nb: Column) -> Column:
@@ -88,8 +93,30 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of `docs` (doc_id long, text): doc_id, n_shingles, component_id, kept.
+def rare_shingles(sets: DataFrame, nodes: DataFrame, rare: int = RARE) -> DataFrame:
+    """(shingle, node, comp, n, df): the shingles of sets (node, shingles) of the nodes (node, comp, n) that at most `rare` of these have, with how many do."""
+    sets = sets.join(nodes, "node")
+    each = sets.select("node", "comp", "n", F.explode("shingles").alias("shingle"))
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= rare)
+    return each.join(counts, "shingle")
+
+
+def sharing_rare(rare: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes of different classes that share a rare shingle and may be alike by their counts.
+
+    `own` has (node, r): how many rare shingles a node has. All other shingles of the smaller set might be shared too, and no more.
+    """
+    some = rare.where("df > 1").select("shingle", "node", "comp", "n")
+    x, y = some.alias("x"), some.alias("y")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
+    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+    pairs = pairs.join(own.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(own.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
+    most = F.col("c") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    return pairs.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, crowd: int = CROWD) -> DataFrame:
+    """One row for each row of `docs` (doc_id of a type that can be ordered, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the smallest
     doc_id that links reach. Null texts and those without words have no shingles and link with nothing. Rows that repeat a doc_id are one vertex,
@@ -119,28 +146,40 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return both.where(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
     stars = members.where("node <> center").groupBy("node", "center").count()
-    best = materialize(stars.groupBy("node").agg(F.max_by("center", F.struct("count", -F.col("center"))).alias("center")).select(F.col("node").alias("a"), F.col("center").alias("b")), "best")
+    best = materialize(stars.groupBy("node").agg(F.min_by("center", F.struct(-F.col("count"), F.col("center"))).alias("center")).select(F.col("node").alias("a"), F.col("center").alias("b")), "best")
     forest = _jumped(linked(best).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
 
     placed = materialize(members.drop("center").join(forest, "node", "left").select("slot", "key", "node", F.coalesce("label", "node").alias("comp")), "placed")
     counts = placed.groupBy("slot", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("slot", "key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("slot", "key", "main")
-    bands = nodes.select("node", F.col("n_shingles").alias("n"), "permuted", "bucketed")
-    open_ = placed.join(main, ["slot", "key"]).join(bands, "node").select("slot", "key", "node", "comp", "main", "n", F.when(F.col("slot") < S.BANDS, F.col("permuted")).otherwise(F.col("bucketed")).alias("bands"))
-    open_ = materialize(open_, "open")
-    halves = sets.select("node", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")).alias("half"))
+    main = counts.groupBy("slot", "key").agg(F.min_by("comp", F.struct(-F.col("n"), F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members")).where("comps > 1")
+    open_ = materialize(placed.join(main.select("slot", "key", "main", (F.col("members") > crowd).alias("crowded")), ["slot", "key"]).join(nodes.select("node", F.col("n_shingles").alias("n")), "node"), "open")
+    crowded = materialize(open_.where("crowded").select("node", "comp", "n").distinct(), "crowded")
+    if crowded.isEmpty():
+        open_, proposed = open_.withColumn("r", F.lit(0)), None
+    else:
+        rare = materialize(rare_shingles(sets, crowded), "rare")
+        own = materialize(rare.groupBy("node").agg(F.count(F.lit(1)).alias("r")), "own")
+        proposed = sharing_rare(rare, own, percent)
+        open_ = open_.join(own, "node", "left").withColumn("r", F.when(F.col("crowded"), F.coalesce("r", F.lit(0))).otherwise(0)).where(100 * F.col("r") <= (100 - percent) * F.col("n"))
+        still = open_.groupBy("slot", "key").agg(F.count_distinct("comp").alias("comps")).where("comps > 1").select("slot", "key")
+        open_ = materialize(open_.join(still, ["slot", "key"]), "thinned")
+    open_ = open_.join(nodes.select("node", "permuted", "bucketed"), "node").withColumn("bands", F.when(F.col("slot") < S.BANDS, F.col("permuted")).otherwise(F.col("bucketed"))).drop("permuted", "bucketed", "crowded")
+    # halves of a set may be equal; what is lost of the shared ones by that is no more than what each of the two sets loses
+    halves = sets.select("node", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")).alias("half")).withColumn("lost", F.size("half") - F.size(F.array_distinct("half")))
     x, y = open_.where("comp <> main").join(halves, "node").alias("x"), open_.join(halves, "node").alias("y")
     c = lambda name: F.col(name)
     first = F.array_position(F.zip_with(c("x.bands"), c("y.bands"), lambda a, b: a == b), F.lit(True)) == F.pmod(c("x.slot"), F.lit(S.BANDS)) + 1
     least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / S.REGISTERS)
     other = (c("x.comp") != c("y.comp")) & ((c("y.comp") == c("y.main")) | (c("x.node") < c("y.node")))
     sized = 100 * F.least(c("x.n"), c("y.n")) >= percent * F.greatest(c("x.n"), c("y.n"))
-    # the upper halves of hashes agree at least where the hashes do; the slack covers halves that meet within a set
-    common = F.size(F.array_intersect(c("x.half"), c("y.half"))) + HALF_SLACK
+    rest = F.least(c("x.n") - c("x.r"), c("y.n") - c("y.r"))
+    rest_suffices = 100 * rest >= percent * (rest + c("x.r") + c("y.r"))
+    common = F.size(F.array_intersect(c("x.half"), c("y.half"))) + F.least(c("x.lost"), c("y.lost"))
     alike = 100 * common >= percent * (c("x.n") + c("y.n") - common)
-    near = F.when(other & sized, F.when(first, F.when(estimated(c("x.bands"), c("y.bands"), c("x.n"), c("y.n")) >= least, alike))).otherwise(False)
+    near = F.when(other & sized & rest_suffices, F.when(first, F.when(estimated(c("x.bands"), c("y.bands"), c("x.n"), c("y.n")) >= least, alike))).otherwise(False)
     pairs = x.join(y, (c("x.slot") == c("y.slot")) & (c("x.key") == c("y.key")) & near)
-    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    pairs = (pairs if proposed is None else pairs.unionByName(proposed)).distinct().join(best, ["a", "b"], "left_anti")
 
     # links between the forest's classes
     to = lambda k: forest.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label"))
