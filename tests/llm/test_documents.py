@@ -223,23 +223,28 @@ def test_registers_estimate_similarity(spark):
     assert shingles.bucketed_bands(a) is None and shingles.permuted_bands(np.arange(600, dtype=np.uint64)) is None
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
-def test_lm_scores(spark, limit):
-    texts = [None, "", "a", "abcabc", "good text é", "good texts", "bad bad bad"] * 2
+@pytest.mark.parametrize("chunk_bytes", [8 << 20, 7])
+def test_lm_scores(spark, chunk_bytes):
+    texts = [None, "", "a", "abcabc", "good text é", "good texts", "bad bad bad"] * 2 + ["long text " * 20_000]
     good = spark.createDataFrame([(4,), (5,), (5,), (None,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score(docs(spark, texts), good, broadcast_grams=limit).collect()}
-    all_grams = {i: [(bytes(4) + (t or "").encode())[k : k + 5] for k in range(len((t or "").encode()))] for i, t in enumerate(texts, 1)}
-    models = []
-    for ids in ((4, 5), all_grams):
-        n = Counter(g for i in ids for g in all_grams[i])
-        h = Counter()
+    df = docs(spark, texts).withColumn("gram", F.lit("clash")).withColumn("chunk", F.lit("clash")).withColumn("is_target", F.lit("clash"))
+    got = {r.doc_id: r for r in lm_score.score(df, good, chunk_bytes=chunk_bytes).collect()}
+    counts = {i: Counter((bytes(4) + (t or "").encode())[k : k + 5] for k in range(len((t or "").encode()))) for i, t in enumerate(texts, 1)}
+
+    def loss(i, ids):
+        n, h = Counter(), Counter()
+        for j in ids:
+            if j != i:
+                n += counts[j]
         for g, k in n.items():
             h[g[:4]] += k
-        models.append(lambda g, n=n, h=h: -np.log((n[g] + 0.1) / (h[g[:4]] + 25.6)))
-    for i, g in all_grams.items():
-        assert got[i].n_bytes == len(g)
-        if g:
-            t, b = (np.mean([m(x) for x in g]) for m in models)
+        return sum(k * -np.log((n[g] + 0.1) / (h[g[:4]] + 25.6)) for g, k in counts[i].items()) / sum(counts[i].values())
+
+    assert len(got) == len(texts)
+    for i in counts:
+        assert got[i].n_bytes == sum(counts[i].values())
+        if counts[i]:
+            t, b = loss(i, (4, 5)), loss(i, counts)
             assert (got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((t, b, b - t), abs=1e-9)
         else:
             assert got[i].score is None

@@ -61,11 +61,12 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH d AS (SELECT doc_id, repeat('00', 4) || hex(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
 t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-g AS (SELECT doc_id, substr(h, 2 * i - 1, 10) AS gram, count(*) AS n FROM (SELECT doc_id, h, unnest(range(1, n_bytes + 1)) AS i FROM d) GROUP BY 1, 2),
-c AS (SELECT gram, substr(gram, 1, 8) AS context, sum(CASE WHEN doc_id IN (SELECT doc_id FROM t) THEN n ELSE 0 END) AS tn, sum(n) AS bn FROM g GROUP BY 1, 2),
+e AS (SELECT doc_id, substr(h, 2 * i - 1, 10) AS gram, count(*) AS n FROM (SELECT doc_id, h, unnest(range(1, n_bytes + 1)) AS i FROM d) GROUP BY 1, 2),
+g AS (SELECT e.doc_id, gram, substr(gram, 1, 8) AS context, n, sum(n) OVER (PARTITION BY e.doc_id, substr(gram, 1, 8)) AS own, CASE WHEN t.doc_id IS NULL THEN 0 ELSE 1 END AS good FROM e LEFT JOIN t ON e.doc_id = t.doc_id),
+c AS (SELECT gram, context, sum(n * good) AS tn, sum(n) AS bn FROM g GROUP BY 1, 2),
 k AS (SELECT context, sum(tn) AS ta, sum(bn) AS ba FROM c GROUP BY 1),
-p AS (SELECT gram, -ln((tn + 0.1) / (ta + 25.6)) AS tl, -ln((bn + 0.1) / (ba + 25.6)) AS bl FROM c JOIN k USING (context)),
-s AS (SELECT doc_id, sum(n * tl) AS tl, sum(n * bl) AS bl FROM g JOIN p USING (gram) GROUP BY doc_id)
+s AS (SELECT doc_id, sum(-n * ln((tn - good * n + 0.1) / (ta - good * own + 25.6))) AS tl, sum(-n * ln((bn - n + 0.1) / (ba - own + 25.6))) AS bl
+      FROM g JOIN c ON g.gram = c.gram JOIN k ON c.context = k.context GROUP BY doc_id)
 SELECT d.doc_id, n_bytes, round(bl / n_bytes, 6) AS background_loss, round(tl / n_bytes, 6) AS target_loss, round((bl - tl) / n_bytes, 6) AS score
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """
