@@ -35,6 +35,22 @@ def test_language_on_held_out_documents(spark):
     assert language.predict(odd, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_symbols_are_no_letters(spark):
+    docs = spark.createDataFrame([("ab cd", "xx"), ("ef gh", "yy"), ("½ ②", "zz")], "text string, lang string")
+    model = language.fit(docs)
+    odd = ["½", "²", "Ⅷ", "①", "٣", "_", "\u0301", "💡 1/2", "½ é", "ª"]
+    got = [r.lang_pred for r in language.predict(spark.createDataFrame(list(enumerate(odd)), SCHEMA).withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(1)), model).orderBy("doc_id").collect()]
+    assert [x == "und" for x in got] == [not any(c.isalpha() for c in t) for t in odd] and "zz" not in got
+
+
+def test_ties_and_margins_of_votes():
+    """A vote by hand: most won pairs first, then the larger sum of margins, then the later name."""
+    features = language.features("abc")
+    svm = lambda m: (features * m, 0.0)
+    assert language._vote(["a", "b", "c"], {("a", "b"): svm(1.0), ("b", "c"): svm(2.0), ("a", "c"): svm(-0.5)}, features)[0] == "b"
+    assert language._vote(["a", "b"], {("a", "b"): svm(0.0)}, features) == ("b", 0.5)
+
+
 def test_one_language_and_unknown_families(spark):
     docs = spark.createDataFrame([("ab cd", "xx"), ("ef gh", "yy"), (None, "zz"), ("q", None)], "text string, lang string")
     model = language.fit(docs)

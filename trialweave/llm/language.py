@@ -12,6 +12,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 _OTHERS = re.compile(r"[\W\d_]+")
+#: The former leaves numerals that aren't letters, as in fractions.
+_NO_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
 def family(lang: str) -> str:
@@ -43,7 +46,8 @@ def family(lang: str) -> str:
 
 def features(text: str | None) -> np.ndarray | None:
     """The feature vector; None for a text without a letter."""
-    line = _OTHERS.sub(" ", (text or "").lower()).strip()
+    line = _OTHERS.sub(" ", (text or "").lower())
+    line = (line if line.isascii() else _NO_LETTERS.sub(" ", line)).strip()
     if not line:
         return None
     b = np.frombuffer(f" {line} ".encode(), np.uint8).astype(np.uint32)
