@@ -5,7 +5,7 @@ consecutive words of an item; a shorter item is one window. The automaton holds
 both ends; it scans a document's normalised words once, and hits are mapped back to offsets in the original text.
 
 Windows are gathered on the driver in blocks of bounded bytes (BLOCK_BYTES), each block one automaton that tasks build once
-and use for all their documents. A usual test set is one block. Larger ones take one scan a block; the blocks' hits
+and use for all their documents. A byte of windows is a state at most, and a state takes some 50 bytes, so a block bounds a task's memory too. A usual test set is one block. Larger ones take one scan a block; the blocks' hits
 are then joined by row.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialize, small_batches
 
 #: Words in a window; the most bytes of windows in an automaton, as the size of what is sent to each task.
-WINDOW, BLOCK_BYTES = 10, 32 << 20
+WINDOW, BLOCK_BYTES = 10, 4 << 20
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: UTF-8 bytes: A-Z to a-z, all other ASCII but digits and a-z to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
