@@ -28,7 +28,7 @@ def test_stages(spark):
         elif name == "exact_dedup":
             keep = {ids[k - 1] for k, g in expected_groups(texts).items() if g[2]}
         elif name == "near_dedup":
-            keep = {ids[k - 1] for k, g in components(texts, 5).items() if g[2]}
+            keep = {ids[k - 1] for k, g in components(texts, corpus_pipeline.SHINGLE_WORDS).items() if g[2]}
         else:
             keep = {i for i, c in zip(ids, contamination(texts, items, 10)) if not c[1]}
         assert {r.doc_id for r in out.select("doc_id").collect()} == keep
@@ -45,6 +45,30 @@ def test_stages_drop_what_they_should(spark):
     assert not kept & {900001, 900002, 900003} and len(kept) == docs.count() - 3
 
 
+def test_stages_on_odd_rows(spark):
+    base = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text for r in base.collect()}
+    one = next(t for t in texts.values() if t and len(t) > 300)
+    odd = [(None, one, "en", "s", 1), (None, one, "en", "s", 1), (900001, one, "en", "s", 1), (900001, "Other text that was not there before.", "en", None, None), (900002, None, None, None, None), (None, "", None, None, None)]
+    clash = {"digest": F.lit(b"d"), "bucket": F.lit("b"), "node": F.lit("n"), "row": F.lit("r"), "kept": F.lit(False), "items": F.lit("i"), "chunk": F.lit("c"), "score": F.lit("s")}
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).withColumns(clash)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = corpus_pipeline.materialize(stage(spark, docs, DATA), "test")
+        assert out.schema.simpleString() == docs.schema.simpleString() and not stage(spark, out.limit(0), DATA).count()
+        docs = out
+    rows = docs.where("doc_id is null or doc_id > 900000").collect()
+    # rows without an id stay where they have text; the id that stands twice is a copy by its first text, and both its rows go
+    assert [r.text == one for r in rows] == [True, True] and {r.doc_id for r in rows} == {None}
+    assert corpus_pipeline.tokenized(spark, docs, DATA).count() == docs.count()
+    assert corpus_pipeline.tokenized(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_the_near_duplicate_stage_keeps_what_the_operator_keeps(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {r.doc_id for r in queries.QUERIES["op6_near_dedup"](spark, DATA).where("kept").collect()}
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, DATA).select("doc_id").collect()} == kept
+
+
 def test_unlearnt_languages_and_gibberish_go(spark):
     data = DATA.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{data}/documents.parquet")
