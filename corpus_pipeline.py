@@ -1,6 +1,7 @@
 """A training-corpus pipeline over `documents`: each stage works on all that its predecessor kept, as written and read again.
 
-Stages drop rows by doc_id; a row without an id can't be named by them and stays. All but the last return the columns of their input.
+The stages of copies drop rows by doc_id: a row without an id can't be named by them and stays, and rows that repeat an id go or stay together. All but
+the last return the columns of their input, whatever these are called; an empty table gives no rows. Null and empty texts go in the first stage.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from trialweave.llm.queries import tokenizer_path
 #: Language ID rejects documents without a letter and those that the family's or the language's step is less certain of. On held-out
 #: documents of sf0.1 that bound drops 1,903 of 1,960 whose language wasn't learnt and 3 of 1,960 others (see the README).
 LEAST_CERTAINTY = 0.65
+#: Words in a shingle of the near-duplicate stage, as in op6_near_dedup.
+SHINGLE_WORDS = 2
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -38,9 +41,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingle similarity of at least 0.8 connect, the one with the smallest doc_id stays."""
+    """Of documents that links of a similarity of at least 0.8 connect, the one with the smallest doc_id stays. The sets are those of op6_near_dedup."""
     ship_package(spark)
-    return _without(docs, near_dedup.classes(docs).where("not kept"))
+    return _without(docs, near_dedup.classes(docs, size=SHINGLE_WORDS).where("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
