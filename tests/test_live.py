@@ -1,5 +1,6 @@
 """Live results equal the batch's whatever the order of arrival."""
 
+import os
 import time
 
 import pytest
@@ -97,6 +98,27 @@ def test_files(spark, tmp_path):
     assert sorted(out) == [3, 12]
 
 
+def test_files_that_grow_wait(spark, tmp_path):
+    files, folder = tmp_path / "files", tmp_path / "state"
+    files.mkdir()
+    for k in (1, 2):
+        (files / f"s_{k}_mc.tif").write_bytes(b"x" * 10 * k)
+        os.utime(files / f"s_{k}_mc.tif", (time.time() - 60, time.time() - 60))
+    arrived = live.in_order(live.file_catalog(spark, str(files), "*.tif").withColumn("trial", live.trial_number(F.col("path"))).drop("name"))
+    assert [r.trial for r in arrived.collect()] == [1, 2]
+    rows = arrived.collect()
+    os.utime(files / "s_2_mc.tif")  # it is being written
+    state = live.LiveState(str(folder), lambda: spark.range(3).select(F.col("id").alias("trial")), lambda r: r.select("trial", "length"), complete=live.complete_files(str(files)), retries=0)
+    state(spark.createDataFrame(rows, arrived.schema), 0)
+    assert [(r.trial, r.length) for r in state.results(spark).collect()] == [(1, 10)]
+    (files / "s_2_mc.tif").write_bytes(b"x" * 30)
+    os.utime(files / "s_2_mc.tif", (time.time() - 60, time.time() - 60))
+    for _ in range(2):
+        state(spark.createDataFrame([], arrived.schema), 1)
+        assert sorted((r.trial, r.length) for r in state.results(spark).collect()) == [(1, 10), (2, 30)]
+    assert state.failed(spark).count() == 0
+
+
 def test_snapshots(spark, tmp_path):
     write = live.snapshot_writer(str(tmp_path))
     write(3, spark.createDataFrame([(1, 2.0), (1, 3.0)], "trial long, x double"))

@@ -35,7 +35,7 @@ def test_equals_sql(spark, duck, name):
     assert normal(df.select(*names).collect()) == normal(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"batch_run", "fine_roi_trial", "fine_roi_global"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 

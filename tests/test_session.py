@@ -24,6 +24,10 @@ def test_stacks_and_regions(spark, tmp_path):
     for name in ("a_1.rec", "a_3.rec", "a_2.rec"):
         (folder / name).write_text("x")
     assert records.latest_path(spark, str(folder), "*.rec").endswith("a_3.rec") and records.latest_path(spark, str(folder), "*.none") is None
+    lists = spark.createDataFrame([(1, [2, 1, 1], [1, 2, 1]), (2, [], []), (3, None, None)], "cell long, x array<int>, y array<int>")
+    assert [(r.cell, r.r, r.c, r.k) for r in records.zipped_regions(lists).orderBy("k").collect()] == [(1, 0, 0, 1), (1, 1, 0, 2), (1, 0, 1, 3)]
+    with pytest.raises(Exception, match="differ in number in cell 4"):
+        records.zipped_regions(spark.createDataFrame([(4, [1], [1, 2])], lists.schema)).collect()
     nested = spark.createDataFrame([(1, [[1.0, 2.0], [], None])], "cell long, m array<array<double>>")
     assert sorted(((r.trial, r.frame or 0, r.v or 0) for r in records.trace_points(nested, "m").collect())) == [(1, 1, 1.0), (1, 2, 2.0), (2, 0, 0), (3, 0, 0)]
 

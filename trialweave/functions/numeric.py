@@ -47,6 +47,19 @@ def window_bounds(onset: Column, freq: float, ipi: float, n_pulses: float, pre:
     return F.floor(start).cast("long"), (F.ceil(start) + window_frames(freq, ipi, n_pulses, pre, post)).cast("long")
 
 
+def pulse_positions(n_pulses: Column, ipi: float, pre: float, freq: float) -> Column:
+    """Samples at which a sweep's pulses stand, as fractions; times in ms."""
+    return F.when(n_pulses > 0, F.transform(F.sequence(F.lit(0).cast("long"), n_pulses.cast("long") - 1), lambda p: p * F.lit(ipi) / 1000 * freq + F.lit(pre) / 1000 * freq))
+
+
+def trimmed_range(first_pulse: Column, freq: float, trim: float = 2.0) -> tuple[Column, Column]:
+    """First and last sample (from 1, inclusive) before the first pulse, `trim` ms off at either end as far as one sample remains."""
+    edge = math.floor(trim / 1000 * freq + 0.5)
+    last = F.greatest(F.lit(1).cast("long"), half_away(first_pulse).cast("long") - 1)
+    low = F.least(last, F.lit(1 + edge).cast("long"))
+    return low, F.greatest(low, last - edge)
+
+
 def pre_length(freq: float, pre: float) -> int:
     """Points before the stimulus that a baseline averages."""
     return colon_count(pre / 1000 * freq - 1)

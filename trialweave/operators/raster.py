@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS
+from ..sources.scratch import sized
 
 #: Stencils of the second derivative (central first difference twice) and of the first.
 SECOND, FIRST = (0.25, 0.0, -0.5, 0.0, 0.25), (0.5, 0.0, -0.5)
@@ -267,22 +268,23 @@ def rescaled(pixels: DataFrame, groups: Sequence[str] = ("img",), top: int = 655
 def region_mean(pixels: DataFrame, regions: DataFrame, frame: Sequence[str] = ("trial", "frame"), bad_rows: DataFrame | None = None) -> DataFrame:
     """(cell, frame keys, mean_f): the mean over a region's pixels, missing values and bad rows (frame keys, r) left out.
 
-    Regions (cell, r, c, and trial if they differ by trial) join on the pixel; every region has a row in every frame.
+    Regions (cell, r, c, and trial if they differ by trial) join on the pixel, broadcast if they are few; every region has a row in every frame.
     """
     if bad_rows is not None:
         pixels = pixels.join(bad_rows.select(*frame, "r").distinct().withColumn("_bad", F.lit(True)), [*frame, "r"], "left").withColumn("v", F.when(F.col("_bad").isNull(), F.col("v"))).drop("_bad")
-    return pixels.join(regions, [c for c in ("trial", "r", "c") if c in regions.columns]).groupBy("cell", *frame).agg(F.avg("v").alias("mean_f"))
+    return pixels.join(sized(regions), [c for c in ("trial", "r", "c") if c in regions.columns]).groupBy("cell", *frame).agg(F.avg("v").alias("mean_f"))
 
 
 def rectangle_mean(pixels: DataFrame, regions: DataFrame, frame: Sequence[str] = ("trial", "frame")) -> DataFrame:
     """(cell, frame keys, mean_f): the mean over all combinations of a region's rows and columns, repeated as they repeat.
 
-    The combinations are never made: rows and columns carry how often they occur, and pixels are weighted by the product.
+    The combinations are never made: rows and columns carry how often they occur, and pixels are weighted by the product. The two lists
+    are broadcast if they are short, so that frames aren't dealt out by row.
     """
     keys = [c for c in ("cell", "trial") if c in regions.columns]
     rows, cols = regions.groupBy(*keys, "r").agg(F.count(F.lit(1)).alias("wr")), regions.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("wc"))
     same = [c for c in keys if c != "cell"]
-    joined = pixels.join(rows, [*same, "r"]).join(cols, [*keys, "c"])
+    joined = pixels.join(sized(rows), [*same, "r"]).join(sized(cols), [*keys, "c"])
     weight = F.col("wr") * F.col("wc")
     return joined.groupBy("cell", *frame).agg((F.sum(weight * F.col("v")) / F.sum(F.when(F.col("v").isNotNull(), weight))).alias("mean_f"))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, sized
 from . import raster
 from .trials import preferred
 
@@ -108,13 +108,31 @@ def _thresholded(ridge: DataFrame, groups: list[str], percent: float) -> DataFra
     return lit.join(raster.percentiles(lit, groups, "ridge", {"cut": percent}), groups).where("ridge >= cut").select(*groups, "r", "c")
 
 
+#: How far from a region blurs, derivatives (7 + 2 + 2 pixels) and a ring's disk (5) reach.
+REACH = 16
+
+
+def boxes(rough: DataFrame, pad: int) -> DataFrame:
+    """(cell, r, c): the pixels of each cell's bounding box with a margin, also those outside of the image."""
+    box = rough.groupBy("cell").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    rows = box.withColumn("r", F.explode(F.sequence(F.col("r0") - pad, F.col("r1") + pad)))
+    return rows.select("cell", "r", F.explode(F.sequence(F.col("c0") - pad, F.col("c1") + pad)).alias("c"))
+
+
+def _in_all_trials(regions: DataFrame, images: DataFrame, found: DataFrame) -> DataFrame:
+    """(cell, trial, r, c) of regions (cell, r, c) for the trials of which a cell isn't in `found`."""
+    pairs = regions.select("cell").distinct().crossJoin(images.select("trial").distinct())
+    return pairs.join(found.select("cell", "trial").distinct(), ["cell", "trial"], "left_anti").join(regions.select("cell", "r", "c").distinct(), "cell").select("cell", "trial", "r", "c")
+
+
 def fine_regions(image: DataFrame, rough: DataFrame, height: int | None, width: int | None, sensitivity: float = 2.0, percent: float = 50) -> tuple[DataFrame, DataFrame]:
     """Fine regions and rings (cell, r, c) of cells within one image (r, c, v): the session's global ones.
 
     Each cell's image is the given one at its rough pixels and 0 elsewhere; ridges of at least the median response are the
-    region, all ridges seed the ring. A cell without ridges keeps its rough pixels. Cells run in parallel.
+    region, all ridges seed the ring. A cell without ridges keeps its rough pixels. Beyond REACH of a cell's box all responses are 0 and no ring
+    passes, so only the box and that margin are looked at. Cells run in parallel.
     """
-    grid = image.select("r", "c").crossJoin(rough.select("cell").distinct())
+    grid = boxes(rough, REACH).join(image.select("r", "c"), ["r", "c"])
     own = rough.select("cell", "r", "c").distinct().join(image, ["r", "c"])
     masked = grid.join(own, ["cell", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     # written, as a filter on the response would otherwise unfold all its stencils into one predicate
@@ -132,14 +150,10 @@ def trial_fine_regions(images: DataFrame, rough: DataFrame, sensitivity: float =
     and kept inside its rough pixels. Without ridges the rough pixels stand; `override` (cell, r, c) comes before all.
     """
     norm = materialize(raster.normalised(images, key="trial").select("trial", "r", "c", "norm"), "norm")
-    box = rough.groupBy("cell").agg(*[f("r" if n[0] == "r" else "c").alias(n) for n, f in (("r0", F.min), ("r1", F.max), ("c0", F.min), ("c1", F.max))])
-    within = F.col("r").between(F.col("r0") - pad, F.col("r1") + pad) & F.col("c").between(F.col("c0") - pad, F.col("c1") + pad)
-    # a box holds rows r0 - pad .. r1 + pad: the row is the equi key
-    rows = box.withColumn("r", F.explode(F.sequence(F.col("r0") - pad, F.col("r1") + pad)))
-    boxed = norm.join(rows, "r").where(within).withColumn("key", F.struct("cell", "trial")).select("key", "r", "c", "norm")
+    boxed = norm.join(sized(boxes(rough, pad)), ["r", "c"]).withColumn("key", F.struct("cell", "trial")).select("key", "r", "c", "norm")
     found = materialize(raster.ridge(boxed, sensitivity, value="norm", key="key").select("key.cell", "key.trial", "r", "c", "ridge"), "ridge").join(rough.select("cell", "r", "c").distinct(), ["cell", "r", "c"], "left_semi")
-    rough_all = rough.select("cell", "r", "c").distinct().crossJoin(images.select("trial").distinct())
-    sources = [_thresholded(found, ["cell", "trial"], percent).select("cell", "trial", "r", "c"), rough_all.select("cell", "trial", "r", "c")]
+    fine = materialize(_thresholded(found, ["cell", "trial"], percent).select("cell", "trial", "r", "c"), "fine")
+    sources = [fine, _in_all_trials(rough, images, fine)]
     if override is not None:
         sources.insert(0, override.select("cell", "r", "c").crossJoin(images.select("trial").distinct()).select("cell", "trial", "r", "c"))
     return preferred(sources, ["cell", "trial"])
@@ -150,5 +164,6 @@ def trial_rings(fine: DataFrame, images: DataFrame, global_rings: DataFrame, hei
     the global ring's without them."""
     taken = fine.select("trial", "r", "c").distinct()
     own = raster.ring(fine, images, height, width, ("cell", "trial"), "trial", without=taken)
-    spare = global_rings.select("cell", "r", "c").crossJoin(images.select("trial").distinct()).join(taken, ["trial", "r", "c"], "left_anti")
-    return preferred([own.select("cell", "trial", "r", "c"), spare.select("cell", "trial", "r", "c")], ["cell", "trial"])
+    own = materialize(own.select("cell", "trial", "r", "c"), "rings")
+    spare = _in_all_trials(global_rings, images, own).join(taken, ["trial", "r", "c"], "left_anti")
+    return own.unionByName(spare.select("cell", "trial", "r", "c"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import traces as T
 from ..sources import bindings as B
 from . import session as S
 from .raster_queries import FRAMES_SQL, REGIONS_SQL, _cells, frames, regions
-from .trace_queries import T95_SQL, r6
+from .trace_queries import T95_SQL, ZERO_PHASE_SQL, r6
 
 #: Four frames are a trial: its window has the frames 2 to 4, of which two are the baseline.
 RUN = S.Session(freq=100.0, ipi=10.0, n_pulses=1.0, pre=30.0, post=-30.0, cutoff=10.0)
@@ -52,8 +54,19 @@ def nested_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = frames(spark, sf_dir).withColumn("v", F.col("v") + 1.0)
     roi = S.extracted(pixels, regions(spark), RUN).select("cell", "trial", "frame", F.col("mean_f").alias("corr_f"), F.col("mean_f").alias("filt_f"))
     out = S.responses(roi, _stimuli(pixels), RUN)
-    shot = S.snapshot(out, T.mean_interval(out, ["cell", "cond", "holo", "k"]))
-    return shot.select("cell", F.size("holos").alias("n_holos"), F.to_json("holos").alias("holos"))
+    trials, means = S.snapshot(out, T.mean_interval(out, ["cell", "cond", "holo", "k"]))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 1e6).cast("long").cast("string")), ",", "none").alias("micros")
+    return trials.select("cell", "cond", "holo", "trial", F.size("dff").cast("long").alias("n_points"), text("dff")).unionByName(
+        means.select("cell", "cond", "holo", F.lit(None).cast("long").alias("trial"), F.size("mean").cast("long").alias("n_points"), text("mean")))
+
+
+_RESPONSES_SQL = REGION_RESPONSES_SQL.split(f"{T95_SQL}, g AS")[0].rstrip().rstrip(",")
+SNAPSHOT_SQL = f"""
+{_RESPONSES_SQL}, s AS (SELECT cell, trial % 2 + 1 AS cond, trial, CAST(k AS BIGINT) AS k, dff AS x FROM d),
+a AS (SELECT cell, trial % 2 + 1 AS cond, NULL AS trial, CAST(k AS BIGINT) AS k, avg(dff) AS x FROM d GROUP BY 1, 2, k),
+u AS (SELECT * FROM s UNION ALL SELECT * FROM a)
+SELECT cell, cond, CAST(1 AS BIGINT) AS holo, CAST(trial AS BIGINT) AS trial, count(*) AS n_points, string_agg(coalesce(CAST(CAST(round(x * 1e6) AS BIGINT) AS VARCHAR), 'none'), ',' ORDER BY k) AS micros FROM u GROUP BY cell, cond, trial
+"""
 
 
 def sorted_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +78,18 @@ def sorted_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.mean_interval(points, ["holo", "k"], "flat", "2").select(F.col("holo").alias("cond"), "k", "n_cols", "n", *r6("mean", "ci_lo", "ci_hi"))
 
 
+#: The first frame of each window, by the rule of the operator.
+_LOW = math.floor((0.066 - 34.0 / 1000) * 500.0)
+SORTED_SWEEPS_SQL = f"""
+{ZERO_PHASE_SQL.rsplit("SELECT trial, 77", 1)[0]}, z AS (SELECT trial, 77 - frame AS frame, y FROM g WHERE frame BETWEEN 13 AND 76),
+p AS (SELECT x.trial, x.cond, k, CASE WHEN list_avg(x.s[1:16]) <= 1.06 THEN y END AS v, (k - 8.5) / 500.0 AS t FROM x CROSS JOIN range(1, 33) r(k) LEFT JOIN z ON z.trial = x.trial AND z.frame = {_LOW} + k - 1),
+l AS (SELECT trial, regr_slope(v, t) AS a, regr_intercept(v, t) AS b FROM p WHERE k <= 16 GROUP BY trial),
+o AS (SELECT p.trial, cond, k, v - coalesce(a * t + b, 0.0) AS rest FROM p LEFT JOIN l ON p.trial = l.trial),
+m AS (SELECT cond, k, rest - median(CASE WHEN k <= 16 THEN rest END) OVER (PARTITION BY trial) AS flat FROM o),
+{T95_SQL}, c AS (SELECT cond, k, avg(flat) AS mean, CASE WHEN count(flat) = 1 THEN 0.0 ELSE stddev_samp(flat) END AS sd, count(*) AS n_cols, count(flat) AS n FROM m GROUP BY cond, k),
+h AS (SELECT c.*, sd / sqrt(n_cols) * q.t AS half FROM c LEFT JOIN q ON q.df = n_cols - 1)
+SELECT cond, CAST(k AS BIGINT) AS k, n_cols, n, round(mean, 6) + 0.0 AS mean, round(mean - half, 6) + 0.0 AS ci_lo, round(mean + half, 6) + 0.0 AS ci_hi FROM h
+"""
+
 QUERIES = {f.__name__: f for f in (region_responses, batch_run, nested_snapshot, sorted_sweeps)}
-ORACLE_SQL = {"region_responses": REGION_RESPONSES_SQL}
+ORACLE_SQL = {"region_responses": REGION_RESPONSES_SQL, "nested_snapshot": SNAPSHOT_SQL, "sorted_sweeps": SORTED_SWEEPS_SQL}

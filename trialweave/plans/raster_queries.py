@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import raster as R
 from ..operators import regions as G
 from ..sources import bindings as B
+from ..sources.records import zipped_regions
 from .trace_queries import r6
 
 PIXELS_SQL = "px AS (SELECT vec_id // 64 AS img, vec_id % 64 AS r, CAST(i - 1 AS BIGINT) AS c, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) g(i))"
@@ -299,6 +300,26 @@ FROM (SELECT img, label, area, {_REASON_SQL} AS why FROM st) st LEFT JOIN top ON
 """
 
 
+REPORT_JSON_SQL = f"""
+{REPORT_SQL.rsplit("SELECT st.img", 1)[0]}, rep AS (SELECT st.img{REPORT_SQL.rsplit("SELECT st.img", 1)[1]})
+SELECT img, count(*) AS raw, count(cell) AS accepted, '{{"raw":' || count(*) || ',"accepted":' || count(cell) || ',"order":[' || coalesce(string_agg(CAST(label AS VARCHAR), ',' ORDER BY cell) FILTER (WHERE cell IS NOT NULL), '') || '],"labels":['
+  || string_agg('{{"label":' || label || ',"area":' || area || CASE WHEN reject_reason IS NULL THEN '' ELSE ',"reject_reason":"' || reject_reason || '"' END || '}}', ',' ORDER BY label) || ']}}' AS report
+FROM rep GROUP BY img
+"""
+
+
+def roi_zip_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of rows and columns, counted from 1, as a vector's positions and the sizes of its elements give them."""
+    lists = B.stored(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 64) + 1).alias("x"), F.transform("embedding", lambda e, i: i + 1).alias("y"))
+    return zipped_regions(lists)
+
+
+ZIP_SQL = """
+WITH p AS (SELECT vec_id AS cell, CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 64) AS BIGINT) AS r, CAST(i - 1 AS BIGINT) AS c FROM embeddings, range(1, 65) g(i))
+SELECT cell, r, c, row_number() OVER (PARTITION BY cell ORDER BY c, r) AS k FROM p
+"""
+
+
 def roi_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, report = G.rough_regions(labels(spark, sf_dir), RULES, 64, 64)
     return G.report_json(report)
@@ -327,9 +348,10 @@ def fine_roi_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     roi_exact_mean, roi_rectangle_mean, template_image, capped_mean_image, rescale_u16, bad_rows, artifact_fill, gaussian_blur, hessian_eig, ridge, normalised_image, dilate, area_open, ring, union_and_ring_pixels,
-    label_stats, roi_quality, roi_conflicts, roi_separation, rough_rois, roi_report, roi_report_json, fine_roi_global, fine_roi_trial)}
+    label_stats, roi_quality, roi_conflicts, roi_separation, rough_rois, roi_report, roi_report_json, roi_zip_load, fine_roi_global, fine_roi_trial)}
 ORACLE_SQL = {
     "roi_exact_mean": ROI_EXACT_SQL, "roi_rectangle_mean": ROI_RECTANGLE_SQL, "template_image": TEMPLATE_SQL, "capped_mean_image": CAPPED_SQL, "rescale_u16": RESCALE_SQL, "bad_rows": BAD_ROWS_SQL,
     "artifact_fill": ARTIFACT_FILL_SQL, "gaussian_blur": BLUR_SQL, "hessian_eig": HESSIAN_SQL, "ridge": _ridge_sql(), "normalised_image": _norm_sql(), "dilate": DILATE_SQL, "area_open": AREA_OPEN_SQL,
     "union_and_ring_pixels": UNION_SQL, "label_stats": LABEL_STATS_SQL, "roi_quality": QUALITY_SQL, "roi_conflicts": CONFLICTS_SQL, "roi_separation": SEPARATION_SQL, "rough_rois": ROUGH_SQL, "roi_report": REPORT_SQL,
+    "roi_report_json": REPORT_JSON_SQL, "roi_zip_load": ZIP_SQL,
 }

@@ -103,14 +103,18 @@ def run(pixels: DataFrame, rough: DataFrame, stimuli: DataFrame, session: Sessio
     }
 
 
-def snapshot(responses: DataFrame, means: DataFrame) -> DataFrame:
-    """One row a cell: nested arrays of its conditions' and holos' responses and means, in order."""
-    per_k = means.groupBy("cell", "cond", "holo").agg(F.array_sort(F.collect_list(F.struct("k", "mean", "ci_lo", "ci_hi", "n_cols"))).alias("means"))
-    # a trial's window is short; a holo's trials are gathered as windows
-    per_trial = responses.groupBy("cell", "cond", "holo", "trial").agg(F.array_sort(F.collect_list(F.struct("k", "dff"))).alias("w")).select("cell", "cond", "holo", F.struct("trial", F.col("w.dff").alias("dff")).alias("t"))
-    trials = per_trial.groupBy("cell", "cond", "holo").agg(F.array_sort(F.collect_list("t")).alias("trials"))
-    both = trials.join(per_k, ["cell", "cond", "holo"], "left")
-    return both.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("cond", "holo", "trials", "means"))).alias("holos"))
+def snapshot(responses: DataFrame, means: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nested results as two tables, of which no row grows with the number of trials: (cell, cond, holo, trial, f0, dff, filt_dff) with a trial's
+    short window as arrays, and (cell, cond, holo, n_cols, mean, ci_lo, ci_hi) with the means' arrays, all in the order of k."""
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("x")))), lambda p: p["x"]).alias(c)
+    trials = responses.groupBy("cell", "cond", "holo", "trial").agg(F.max("f0").alias("f0"), in_order("dff"), in_order("filt_dff"))
+    return trials, means.groupBy("cell", "cond", "holo").agg(F.max("n_cols").alias("n_cols"), *[in_order(c) for c in ("mean", "ci_lo", "ci_hi")])
+
+
+def write_snapshot(folder: str, responses: DataFrame, means: DataFrame) -> None:
+    """Both tables of snapshot(), in a folder a cell."""
+    for name, rows in zip(("trials", "means"), snapshot(responses, means)):
+        rows.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/{name}")
 
 
 def sorted_sweeps(sweeps: DataFrame, onsets: DataFrame, excluded: DataFrame, freq: float, cutoff: float, length: int, pre: float) -> DataFrame:

@@ -75,13 +75,30 @@ def trial_dff_common_f0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIAL_DFF_COMMON_SQL = f"""
 WITH {TRACES_SQL},
-a AS (SELECT trial, frame, var_pop(v) OVER w AS var, avg(v) OVER w AS m, count(v) OVER w AS n FROM t WHERE frame <= {PRE_END} WINDOW w AS (PARTITION BY trial ORDER BY frame ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING)),
-b AS (SELECT trial, frame AS start, m AS f0 FROM a WHERE n = {WIDTH} QUALIFY row_number() OVER (PARTITION BY trial ORDER BY var, frame) = 1)
+a AS (SELECT p.trial, p.frame AS start, var_pop(q.v) AS var, avg(q.v) AS f0 FROM t p JOIN t q ON p.trial = q.trial AND q.frame BETWEEN p.frame AND p.frame + {WIDTH - 1} WHERE p.frame <= {PRE_END - WIDTH + 1} GROUP BY 1, 2),
+b AS (SELECT trial, arg_min(start, var) AS start, arg_min(f0, var) AS f0 FROM a GROUP BY trial)
 SELECT t.trial, cond, frame - 16 AS k, start, round(f0, 6) + 0.0 AS f0, round((v - f0) / nullif(f0, 0), 6) + 0.0 AS dff
 FROM t JOIN b ON t.trial = b.trial WHERE frame BETWEEN 17 AND {16 + WINDOW}
 """
 
 
+def pulse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: a pulse for each purchase, where the first and the last stand after a lead of 1 ms an event, and the trimmed range before the first."""
+    counts = B.sweeps(spark, sf_dir).groupBy("trial").agg(F.count_if(F.col("cond") == "purchase").alias("n_pulses"), F.count(F.lit(1)).alias("lead"))
+    got = counts.withColumn("at", N.pulse_positions(F.col("n_pulses"), IPI, 0.0, FREQ)).where("at is not null")
+    first = F.get("at", F.lit(0)) + F.col("lead") / 1000 * FREQ
+    low, high = N.trimmed_range(first, FREQ)
+    return got.select("trial", "n_pulses", *[(F.round(x, 6) + 0.0).alias(n) for n, x in (("first_at", first), ("last_at", F.element_at("at", -1) + F.col("lead") / 1000 * FREQ))], low.alias("low"), high.alias("high"))
+
+
+PULSES_SQL = f"""
+WITH {SWEEPS_SQL}, n AS (SELECT trial, count(*) FILTER (WHERE cond = 'purchase') AS n_pulses, count(*) AS lead FROM e GROUP BY trial),
+p AS (SELECT *, lead / 1000 * {FREQ} AS first_at, (n_pulses - 1) * {IPI} / 1000 * {FREQ} + lead / 1000 * {FREQ} AS last_at FROM n WHERE n_pulses > 0),
+q AS (SELECT *, greatest(1, CAST(round(first_at) AS BIGINT) - 1) AS last_before FROM p)
+SELECT trial, n_pulses, round(first_at, 6) + 0.0 AS first_at, round(last_at, 6) + 0.0 AS last_at, least(last_before, 2) AS low, greatest(least(last_before, 2), last_before - 1) AS high FROM q
+"""
+
+
 def window_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sweeps: padded windows of 40 points from 15 before a user's first purchase."""
     sweeps = B.sweeps(spark, sf_dir)
@@ -400,10 +417,11 @@ def condition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLUMNS_SQL = f"WITH {WINDOWS_SQL} SELECT cond, trial // 100 AS holo, k, string_agg(CAST(trial AS VARCHAR), ',' ORDER BY trial) AS trials, count(*) AS n FROM w GROUP BY 1, 2, 3"
 
 QUERIES = {f.__name__: f for f in (
-    holo_mean_ci, trial_dff, trial_dff_common_f0, trial_dff_filtered, window_extract, window_lengths, baseline_exclude, detrended_sweeps, sweep_ci, trial_excluder, hazen_percentile, mad_outliers,
+    pulse_ranges, holo_mean_ci, trial_dff, trial_dff_common_f0, trial_dff_filtered, window_extract, window_lengths, baseline_exclude, detrended_sweeps, sweep_ci, trial_excluder, hazen_percentile, mad_outliers,
     interleave_metrics, channel_split, iir_causal, iir_zero_phase, holo_ids, session_normalise, trial_metadata_join, eligible_trials, trial_sample, trial_progress, latest_record, trial_index,
     electrode_union, parity_report, condition_columns)}
 ORACLE_SQL = {
+    "pulse_ranges": PULSES_SQL,
     "holo_mean_ci": HOLO_MEAN_CI_SQL, "trial_dff": TRIAL_DFF_SQL, "trial_dff_common_f0": TRIAL_DFF_COMMON_SQL, "window_extract": WINDOW_EXTRACT_SQL, "window_lengths": WINDOW_LENGTHS_SQL, "baseline_exclude": BASELINE_SQL,
     "detrended_sweeps": f"WITH {FLAT_SQL} SELECT trial, cond, k, round(flat, 6) + 0.0 AS flat FROM f", "sweep_ci": SWEEP_CI_SQL, "trial_excluder": TRIAL_EXCLUDER_SQL, "hazen_percentile": HAZEN_SQL, "mad_outliers": MAD_SQL,
     "interleave_metrics": INTERLEAVE_SQL, "channel_split": CHANNEL_SPLIT_SQL, "iir_causal": CAUSAL_SQL, "iir_zero_phase": ZERO_PHASE_SQL, "trial_dff_filtered": FILTERED_SQL, "holo_ids": HOLO_IDS_SQL, "session_normalise": SESSION_SQL, "trial_metadata_join": METADATA_SQL,

@@ -48,6 +48,16 @@ def load_regions(spark: SparkSession, path: str, base: int = 0) -> DataFrame:
     return spark.read.parquet(path).select("cell", (F.col("r") + base).alias("r"), (F.col("c") + base).alias("c"), "k")
 
 
+def zipped_regions(lists: DataFrame, base: int = 1) -> DataFrame:
+    """(cell, r, c, k) of lists of rows and columns (cell, x array, y array) that count from `base`; pixels count from 0, k down the columns.
+
+    Lists of a cell that differ in length stop the read; a cell without pixels has no row.
+    """
+    same = F.when(F.size("x") == F.size("y"), F.arrays_zip("x", "y")).otherwise(F.raise_error(F.concat(F.lit("rows and columns differ in number in cell "), F.col("cell").cast("string"))))
+    pixels = lists.where("size(x) > 0 or size(y) > 0").select("cell", F.explode(same).alias("p"))
+    return column_major(pixels.select("cell", (F.col("p.x") - base).cast("long").alias("r"), (F.col("p.y") - base).cast("long").alias("c")).distinct(), ["cell"])
+
+
 def trace_points(nested: DataFrame, matrix: str) -> DataFrame:
     """(cell, trial, frame, v) of nested matrices (cell, matrix: an array of trials' arrays); empty and missing trials have one NULL row."""
     trials = nested.select("cell", F.posexplode_outer(matrix).alias("t", "samples"))

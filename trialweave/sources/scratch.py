@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -20,6 +21,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows up to which a small table is broadcast; longer ones are joined by a shuffle.
+SMALL_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """`df` for a join: written, counted, and marked for broadcast only if it has at most `rows`."""
+    df = materialize(df, "sized")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet in the shared folder and read it again."""
     path = scratch_dir(df.sparkSession, name)

@@ -47,6 +47,21 @@ def is_complete(now: float | None = None, quiet: float = QUIET_SECONDS) -> F.Col
     return (F.col("length") > 0) & (F.col("modificationTime") <= at - F.make_dt_interval(secs=F.lit(quiet)))
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Files of one batch by trial number, then path; those without a number are left out."""
+    return files.where("trial is not null").orderBy("trial", "path")
+
+
+def complete_files(folder: str, pattern: str = "*.tif") -> Callable[[DataFrame], DataFrame]:
+    """For LiveState.complete: of arrived rows (path, ...), those whose file is complete now, with its present length and time."""
+
+    def complete(rows: DataFrame) -> DataFrame:
+        now = file_catalog(rows.sparkSession, folder, pattern).where(is_complete()).select("path", "length", "modificationTime")
+        return rows.drop("length", "modificationTime").join(now, "path").select(rows.columns)
+
+    return complete
+
+
 @dataclass
 class LiveState:
     """Rows keyed by trial in `folder`: a batch replaces all rows of its trials, so a resent trial counts once.
@@ -55,12 +70,14 @@ class LiveState:
     `pending` and are tried with later batches, up to `retries` times; then they are listed in `failed`. There too go the trials
     that `process` gives an `error` (a text column, NULL for good rows), or for whose own rows it fails by their values; the batch's other new
     trials count, and those that had waited wait for the next batch, without a try. Any other failure is raised, so that the batch is run again from the checkpoint. `process` treats trials apart.
+    Where rows are files, `complete` gives those that are complete; others wait in `pending` too, without a try.
     """
 
     folder: str
     metadata: Callable[[], DataFrame]
     process: Callable[[DataFrame], DataFrame]
     on_batch: Callable[[int, DataFrame], None] | None = None
+    complete: Callable[[DataFrame], DataFrame] | None = None
     retries: int = RETRIES
     buckets: int = BUCKETS
     log: list[tuple[int, str]] = field(default_factory=list)
@@ -105,6 +122,11 @@ class LiveState:
         if waiting is not None:
             rows = rows.unionByName(waiting.where(F.col("tries") < self.retries).withColumn("tries", F.col("tries") + 1))
         rows = materialize(rows, "arrived")
+        growing = None
+        if self.complete:
+            done = materialize(self.complete(rows), "complete")
+            growing = materialize(rows.join(done.select("path"), "path", "left_anti").select(rows.columns), "growing")
+            rows = done
         known = materialize(self.metadata().select("trial").distinct(), "known")
         late = materialize(rows.join(known, "trial", "left_anti"), "late")
         bad: list[tuple] = []
@@ -122,6 +144,8 @@ class LiveState:
             failed, new = failed.unionByName(wrong), new.join(wrong, "trial", "left_anti").drop("error")
         failed.write.mode("overwrite").parquet(f"{self.folder}/failed/batch={batch_id}")
         waits = late.where(F.col("tries") < self.retries)
+        if growing is not None:  # a row that has waited counts its next try, which this is taken off for
+            waits = waits.unionByName(growing.withColumn("tries", F.col("tries") - 1).select(waits.columns))
         if bad or wrong is not None and wrong.count():
             again = ready.where("tries > 0").join(failed.select("trial"), "trial", "left_anti").join(ready.where("tries = 0").select("trial"), "trial", "left_anti")
             again = materialize(again, "again")
