@@ -84,6 +84,15 @@ def test_unlearnt_languages_and_gibberish_go(spark):
     assert kept.where("doc_id > 900000").count() == 0
 
 
+def test_texts_of_two_languages_stay(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    long = {r.lang: r.text for r in docs.where("length(text) between 1500 and 4000").collect()}
+    mixed = [f"{long[a][:n]} {long[b][:1500]}" for a in long for b in long if a != b for n in (900, 1500)]
+    extra = spark.createDataFrame([(900001 + k, t, None, None, len(t)) for k, t in enumerate(mixed)], docs.schema)
+    assert corpus_pipeline.language_id(spark, docs.unionByName(extra), data).where("doc_id > 900000").count() == len(mixed)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     c = duckdb.connect()

@@ -21,6 +21,8 @@ from .common import held_out, map_rows, small_batches
 #: Features; the most training documents a language (a bounded, hash-ordered sample of the labelled rows).
 FEATURES, SAMPLE = 1 << 13, 500
 UNDETERMINED = "und"
+#: Pieces of a text of which half at least must be certain where the whole isn't, and the least words of a piece.
+PIECES, PIECE_WORDS = 8, 20
 #: ISO 639-1 codes by family; a code that isn't here is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -145,8 +147,21 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out("doc_id", 5, 0))
 
 
+def certain(model: dict, text: str | None, least: float) -> bool:
+    """Whether both steps are as certain of the text, or, as a text may have several languages one after the other, of half of its pieces."""
+    lang, p, q = _steps(model, text)
+    if lang == UNDETERMINED or min(p, q) >= least:
+        return lang != UNDETERMINED
+    words = text.split()
+    size = max(PIECE_WORDS, -(-len(words) // PIECES))
+    if len(words) < 2 * size:
+        return False
+    found = [_steps(model, " ".join(words[k : k + size])) for k in range(0, len(words) - size // 2, size)]
+    return 2 * sum(lang != UNDETERMINED and min(p, q) >= least for lang, p, q in found) >= len(found)
+
+
 def accepted(docs: DataFrame, model: dict, least: float = 0.0) -> DataFrame:
-    """`docs`, all columns, without rows whose language is undetermined or of which a step's certainty is below `least`.
+    """`docs`, all columns, without rows whose language is undetermined or of which a step's certainty is below `least` (see `certain`).
 
     A winner of all its pairs has 0.5 at least in both steps; texts of no learnt language are a little above that.
     """
@@ -157,7 +172,7 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.0) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [_steps(sent.value, t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array([lang != UNDETERMINED and min(p, q) >= least for lang, p, q in found], pa.bool_()))
+            found = [certain(sent.value, t, least) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
