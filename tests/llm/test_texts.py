@@ -271,6 +271,14 @@ def test_decoding_any_ids(codecs, ids):
     assert codecs[0].decode(ids) == codecs[1].decode(ids)
 
 
+def test_parts_end_where_no_piece_goes_on():
+    split = lambda known, text: re.findall(pieces.parts_pattern(known), text)
+    assert split(["ab", "▁a", "..", "▁("], "▁▁ab.(b\n▁(a▁") == ["▁▁ab", ".(", "b", "\n", "▁(", "a", "▁"]
+    assert split(["²."], "▁a².b²") == ["▁a", "².", "b", "²"]  # this letter is beside another character in a piece
+    assert split(["n'", "an"], "▁an'b") == ["▁an'", "b"]  # and so are those that share a piece with it
+    assert split([], "") == []
+
+
 def test_pieces_on_documents(spark, codecs):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a" * 30_000), (-4, "  ")], SCHEMA), allowMissingColumns=True)
     texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
