@@ -124,3 +124,7 @@ def test_snapshots(spark, tmp_path):
     write(3, spark.createDataFrame([(1, 2.0), (1, 3.0)], "trial long, x double"))
     assert spark.read.json(f"{tmp_path}/status/batch=3").first().n_rows == 2
     assert spark.read.parquet(f"{tmp_path}/snapshot/batch=3").count() == 2
+    live.snapshot_writer(str(tmp_path), planned=9)(4, spark.createDataFrame([(5, 1), (2, 1), (2, 1), (7, None)], "trial long, cond long"))
+    got = spark.read.json(f"{tmp_path}/status/batch=4").first()
+    assert (got.n_trials, got.n_planned, got.n_rows, got.trials_by_cond.asDict()) == (3, 9, 4, {"1": 2, "none": 1})
+    assert [r.trial for r in spark.read.parquet(f"{tmp_path}/seen/batch=4").orderBy("trial").collect()] == [2, 5, 7]

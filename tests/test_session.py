@@ -71,3 +71,32 @@ def test_bootstrap(spark):
     labels = grid.withColumn("label", F.when(F.col("r").between(8, 14) & F.col("c").between(5, 30), 1).otherwise(0).cast("long"))
     got = S.bootstrap_regions(image, labels, Quality(min_area=50, dilation=2), 40, 40)
     assert got["rough"].count() > 7 * 26 and {r.cell for r in got["fine"].collect()} == {1} and got["report"].first().reject_reason is None
+
+
+def test_run_and_its_snapshot(spark, tmp_path):
+    """Given surroundings, bad rows found in each frame, pixels mended for the grand mean; the nested tables hold what run() gives."""
+    session = S.Session(freq=100.0, ipi=10.0, n_pulses=1.0, pre=30.0, post=-30.0, cutoff=10.0, bad_rows=(0, 29, "fixed", 50.0), alpha=0.5)
+    grid = spark.range(30).select(F.col("id").alias("r")).crossJoin(spark.range(30).select(F.col("id").alias("c")))
+    inside = F.col("r").between(12, 16) & F.col("c").between(5, 20)
+    times = spark.createDataFrame([(t, f) for t in (1, 2, 3) for f in range(1, 6)], "trial long, frame long")
+    noise = F.when(F.col("r") == 14, F.when(F.col("c") % 2 == 0, 500.0).otherwise(0.0))
+    pixels = grid.crossJoin(times).withColumn("v", F.coalesce(noise, F.when(inside, 4.0 + F.col("frame")).otherwise(1.0)))
+    rough = grid.where(inside).withColumn("cell", F.lit(1).cast("long"))
+    rings = grid.where(F.col("r").between(22, 26)).withColumn("cell", F.lit(1).cast("long"))
+    stimuli = spark.createDataFrame([(t, 1, 1, 0.05, t == 3) for t in (1, 2, 3)], "trial long, cond long, holo long, onset double, excluded boolean")
+    override = rough.select("cell", "r", "c")
+    mended = []
+    got = S.run(pixels, rough, stimuli, session, 30, 30, override=override, rings=rings, clean=lambda p: mended.append(1) or p.where("r <> 14"))
+    traces = got["traces"].orderBy("trial", "frame").collect()
+    assert mended and [r.roi_f for r in traces] == pytest.approx([4.0 + r.frame for r in traces])  # the noisy row isn't counted
+    assert {r.bk_f for r in traces} == {1.0} and [r.corr_f for r in traces] == pytest.approx([3.5 + r.frame for r in traces])
+    assert got["excluded_filtered_means"].count() == got["means"].count() == session.length
+    S.write_snapshot(str(tmp_path), got, session.alpha)
+    nested = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("trials", "means", "filtered_means", "traces")}
+    assert {(r.trial, len(r.roi_f), r.sub_scalar) for r in nested["traces"].collect()} == {(t, 5, 0.5) for t in (1, 2, 3)}
+    want = {r.k: r.dff for r in got["responses"].where("trial = 2").collect()}
+    assert [r.dff for r in nested["trials"].where("trial = 2").collect()] == [[want[k] for k in sorted(want)]]
+    want = {r.k: r.mean for r in got["filtered_means"].collect()}
+    assert [r["mean"] for r in nested["filtered_means"].collect()] == [[want[k] for k in sorted(want)]]
+    with pytest.raises(ValueError, match="differ in cells"):
+        S.check_cells(rough, rings.withColumn("cell", F.lit(2).cast("long")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ class Session:
     baseline_ms: float = 50.0
     exact_regions: bool = False
     rules: G.Quality = field(default_factory=G.Quality)
+    #: Where no bad rows are given: how to find them in each frame, as (first column, last column, mode, parameter).
+    bad_rows: tuple[int, int, str, float] | None = None
 
     def __post_init__(self) -> None:
         if self.polarity not in ("1", "2"):
@@ -44,6 +47,14 @@ class Session:
         return N.response_length(self.freq, self.ipi, self.n_pulses, self.pre, self.post)
 
 
+def check_cells(rough: DataFrame, rings: DataFrame) -> None:
+    """Raises if the rough regions and their surroundings aren't of the same cells."""
+    one, two = (df.select("cell").distinct() for df in (rough, rings))
+    odd = one.join(two, "cell", "left_anti").unionByName(two.join(one, "cell", "left_anti")).limit(3).collect()
+    if odd:
+        raise ValueError(f"regions and surroundings differ in cells, among them {sorted(r.cell for r in odd)}")
+
+
 def extracted(pixels: DataFrame, regions: DataFrame, session: Session, bad_rows: DataFrame | None = None) -> DataFrame:
     """(cell, trial, frame, mean_f): exact pixels without bad rows, or the rectangle of a region's rows and columns."""
     return R.region_mean(pixels, regions, bad_rows=bad_rows) if session.exact_regions or bad_rows is not None else R.rectangle_mean(pixels, regions)
@@ -85,21 +96,30 @@ def responses(traces: DataFrame, stimuli: DataFrame, session: Session) -> DataFr
     return out.unionByName(lost.select("cell", "cond", "holo", "trial", "k", null.alias("f0"), null.alias("dff"), null.alias("filt_dff")))
 
 
-def run(pixels: DataFrame, rough: DataFrame, stimuli: DataFrame, session: Session, height: int, width: int, bad_rows: DataFrame | None = None, override: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All trials of a session: regions, traces, responses, their means and intervals, and those after rejecting trials."""
+def run(pixels: DataFrame, rough: DataFrame, stimuli: DataFrame, session: Session, height: int, width: int, bad_rows: DataFrame | None = None, override: DataFrame | None = None,
+        rings: DataFrame | None = None, clean: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All trials of a session: regions, traces, responses, their means and intervals, and those after rejecting trials.
+
+    `rings` are given surroundings (cell, r, c) of the rough regions, by default those in the grand mean image; `clean` mends the pixels that this image is made of.
+    """
+    if rings is not None:
+        check_cells(rough, rings)
+    if bad_rows is None and session.bad_rows:
+        bad_rows = R.row_artifacts(pixels, *session.bad_rows, groups=("trial", "frame")).where("bad").select("trial", "frame", "r")
     images = R.trial_images(pixels)
-    grand = R.template(R.trial_images(pixels, cap=max(1, int(4 * session.freq))).join(stimuli.where("not excluded").select("trial").distinct(), "trial", "left_semi"))
-    _, global_rings = G.fine_regions(grand.select("r", "c", "v"), rough, height, width)
+    grand = R.template(R.trial_images(clean(pixels) if clean else pixels, cap=max(1, int(4 * session.freq))).join(stimuli.where("not excluded").select("trial").distinct(), "trial", "left_semi"))
+    global_rings = G.fine_regions(grand.select("r", "c", "v"), rough, height, width)[1] if rings is None else rings
     fine = materialize(G.trial_fine_regions(images, rough, override=override), "fine")
-    rings = materialize(G.trial_rings(fine, images, global_rings, height, width), "rings")
-    traces = materialize(traces_of(pixels, fine, rings, session, bad_rows), "traces")
+    around = materialize(G.trial_rings(fine, images, global_rings, height, width), "rings")
+    traces = materialize(traces_of(pixels, fine, around, session, bad_rows), "traces")
     out = materialize(responses(traces, stimuli, session), "responses")
     groups = ["cell", "cond", "holo"]
     excl = T.rejected(out, groups)
     return {
-        "regions": fine, "rings": rings, "traces": traces, "responses": out,
+        "regions": fine, "rings": around, "traces": traces, "responses": out,
         "means": T.mean_interval(out, [*groups, "k"], "dff", session.polarity), "filtered_means": T.mean_interval(out, [*groups, "k"], "filt_dff", session.polarity),
-        "excluded_means": T.mean_interval(excl, [*groups, "k"], "excl_dff", session.polarity), "rejected": excl,
+        "excluded_means": T.mean_interval(excl, [*groups, "k"], "excl_dff", session.polarity),
+        "excluded_filtered_means": T.mean_interval(excl, [*groups, "k"], "excl_filt_dff", session.polarity), "rejected": excl,
     }
 
 
@@ -111,9 +131,19 @@ def snapshot(responses: DataFrame, means: DataFrame) -> tuple[DataFrame, DataFra
     return trials, means.groupBy("cell", "cond", "holo").agg(F.max("n_cols").alias("n_cols"), *[in_order(c) for c in ("mean", "ci_lo", "ci_hi")])
 
 
-def write_snapshot(folder: str, responses: DataFrame, means: DataFrame) -> None:
-    """Both tables of snapshot(), in a folder a cell."""
-    for name, rows in zip(("trials", "means"), snapshot(responses, means)):
+def trace_snapshot(traces: DataFrame, alpha: float = T.ALPHA) -> DataFrame:
+    """(cell, trial, roi_f, bk_f, corr_f, sub_scalar): a trial's traces as arrays in the order of frames, and the share of the
+    surroundings that was taken off, NULL where no frame is corrected."""
+    points = F.array_sort(F.collect_list(F.struct("frame", "roi_f", "bk_f", "corr_f")))
+    share = F.when(F.count("corr_f") > 0, F.lit(alpha)).alias("sub_scalar")
+    return traces.groupBy("cell", "trial").agg(points.alias("p"), share).select("cell", "trial", *[F.col(f"p.{c}").alias(c) for c in ("roi_f", "bk_f", "corr_f")], "sub_scalar")
+
+
+def write_snapshot(folder: str, results: dict[str, DataFrame], alpha: float = T.ALPHA) -> None:
+    """The results of run() as nested tables, in a folder a cell: trials and means as snapshot() has them, the filtered means, and traces."""
+    trials, means = snapshot(results["responses"], results["means"])
+    nested = {"trials": trials, "means": means, "filtered_means": snapshot(results["responses"], results["filtered_means"])[1], "traces": trace_snapshot(results["traces"], alpha)}
+    for name, rows in nested.items():
         rows.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/{name}")
 
 

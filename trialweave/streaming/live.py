@@ -184,13 +184,29 @@ def stop_when_idle(query: StreamingQuery, seconds: float, done: Callable[[], boo
         time.sleep(poll)
 
 
-def snapshot_writer(folder: str) -> Callable[[int, DataFrame], None]:
-    """For LiveState.on_batch: a new folder a batch with the results, and a status of it; readers take the newest."""
+def status(results: DataFrame, planned: int | None = None) -> DataFrame:
+    """One row: trials seen and planned, rows, trials by condition and the time; a trial has one condition, 'none' if it is missing. The trials themselves are in seen()."""
+    cond = F.coalesce(F.max(F.col("cond").cast("string")), F.lit("none")) if "cond" in results.columns else F.lit("none")
+    by_cond = results.groupBy("trial").agg(cond.alias("cond"), F.count(F.lit(1)).alias("rows")).groupBy("cond").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    zero = F.lit(0).cast("long")
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("cond", "n"))))
+    row = by_cond.agg(F.coalesce(F.sum("n"), zero).alias("n_trials"), F.coalesce(F.sum("rows"), zero).alias("n_rows"), pairs.alias("trials_by_cond"))
+    return row.select("n_trials", F.lit(planned).cast("long").alias("n_planned"), "n_rows", "trials_by_cond", F.current_timestamp().alias("written"))
+
+
+def seen(results: DataFrame) -> DataFrame:
+    """The trials that have come, each once, in order."""
+    return results.select("trial").distinct().orderBy("trial")
+
+
+def snapshot_writer(folder: str, planned: int | None = None) -> Callable[[int, DataFrame], None]:
+    """For LiveState.on_batch: a new folder a batch with the results, the trials seen, and a status that is written last; readers take the newest status."""
 
     def write(batch_id: int, results: DataFrame) -> None:
         results.write.mode("overwrite").parquet(f"{folder}/snapshot/batch={batch_id}")
-        status = results.agg(F.count_distinct("trial").alias("n_trials"), F.count(F.lit(1)).alias("n_rows"), F.current_timestamp().alias("written"))
-        status.write.mode("overwrite").json(f"{folder}/status/batch={batch_id}")
+        written = results.sparkSession.read.parquet(f"{folder}/snapshot/batch={batch_id}")
+        seen(written).write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+        status(written, planned).write.mode("overwrite").json(f"{folder}/status/batch={batch_id}")
 
     return write
 
