@@ -67,6 +67,8 @@ def test_priority_and_sampling(spark):
     trials = spark.range(100).select(F.col("id").alias("trial"), F.lit(False).alias("excluded"))
     assert [r.trial for r in TR.evenly_spaced(trials, 4).orderBy("trial").collect()] == [0, 33, 66, 99]
     assert TR.eligible(trials, 0, 9, 0.5).count() == 5
+    drawn = [{r.trial for r in TR.eligible(t, 0, 9, 0.5, seed).collect()} for t, seed in ((trials, 1), (trials.repartition(5), 1), (trials.coalesce(1), 1), (trials, 2))]
+    assert drawn[0] == drawn[1] == drawn[2] != drawn[3] and {len(d) for d in drawn} == {5}
 
 
 def image(spark, a, img=0):

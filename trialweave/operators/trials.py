@@ -42,20 +42,26 @@ def condition_counts(points: DataFrame, first: str) -> DataFrame:
 
 
 def eligible(trials: DataFrame, low: int, high: int, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """Distinct trials of low..high that aren't excluded; with a share below 1, that part of them, rounded up, at random."""
+    """Distinct trials of low..high that aren't excluded; with a share below 1, that part of them, rounded up, drawn by a hash of seed and trial."""
     got = trials.where(F.col("trial").between(low, high) & ~F.col("excluded")).select("trial").distinct()
-    return got if share >= 1 else got.orderBy(F.rand(seed)).limit(-int(-got.count() * share // 1))
+    if share >= 1:
+        return got
+    drawn = _ranked(got.withColumn("_drawn", F.xxhash64(F.lit(seed), "trial")), ["_drawn", "trial"])
+    return drawn.where(F.col("rank") <= F.ceil(F.col("total") * share)).select("trial")
 
 
-def evenly_spaced(trials: DataFrame, n: int) -> DataFrame:
-    """At most n trials, evenly spaced by rank from the first to the last.
-
-    Ranks come from range-partitioned sorting and counts of the partitions, so no task sorts all trials.
-    """
-    spread = trials.select("trial").distinct().repartitionByRange("trial").sortWithinPartitions("trial").withColumn("part", F.spark_partition_id())
+def _ranked(trials: DataFrame, by: list[str]) -> DataFrame:
+    """Adds rank (from 1) and total. Ranks come from range-partitioned sorting and counts of the partitions, so no task sorts all trials."""
+    spread = trials.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
     counts = spread.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy()).alias("total"))
-    ranked = spread.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("trial"))).join(F.broadcast(before), "part").select("trial", (F.col("own") + F.col("before")).alias("rank"), "total")
+    own = spread.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(*by)))
+    return own.join(F.broadcast(before), "part").select(*trials.columns, (F.col("own") + F.col("before")).alias("rank"), "total")
+
+
+def evenly_spaced(trials: DataFrame, n: int) -> DataFrame:
+    """At most n trials, evenly spaced by rank from the first to the last."""
+    ranked = _ranked(trials.select("trial").distinct(), ["trial"])
     # rank 1 + floor(i * (total - 1) / (n - 1)) for an i
     step = F.greatest(F.col("total") - 1, F.lit(0))
     i = F.ceil((F.col("rank") - 1) * (n - 1) / F.greatest(step, F.lit(1)).cast("double")).cast("long")
