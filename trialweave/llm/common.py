@@ -45,6 +45,21 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
     return df.mapInArrow(run, target)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+    """As `map_rows`, but the function gets a whole Arrow batch and returns the columns of `schema`, as lists or arrays."""
+    small_batches(df.sparkSession)
+    target = df.sparkSession.createDataFrame([], schema).schema
+    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in target])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([v.cast(t.type) if isinstance(v, pa.Array) else pa.array(v, t.type) for v, t in zip(one(batch), arrow)], schema=arrow)
+
+    return df.mapInArrow(run, target)
+
+
 #: Ids (8 bytes each) up to which a list of them is broadcast; longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language, lm_score, near_dedup, pieces, pii, toxicity, warc
+from . import alignment, decontaminate, exact_dedup, html_text, language, lm_score, near_dedup, pieces, pii, quality, toxicity, vector_codes, warc
 from .common import held_out, materialize, scratch_dir, table
 
 
@@ -129,6 +129,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, quality.training_labels(labels))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """The rounds of op13, one after the other: codebooks b0, b1, ... and the entries that are nearest to the parts, a0, a1, ..."""
+    near = """a{k} AS MATERIALIZED (SELECT vec_id, part, min_by(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT p.vec_id, p.part, b.entry, CAST(list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{k} b ON p.part = b.part) GROUP BY 1, 2)"""
+    move = """m{k} AS (SELECT part, entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT p.part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM p JOIN a{j} a ON p.vec_id = a.vec_id AND p.part = a.part) GROUP BY 1, 2, 3),
+b{k} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM b{j} b LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v FROM m{k} GROUP BY 1, 2) n ON b.part = n.part AND b.entry = n.entry)"""
+    rounds = ",\n".join(f"{near.format(k=k)},\n{move.format(k=k + 1, j=k)}" for k in range(vector_codes.ROUNDS))
+    last = vector_codes.ROUNDS
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM k, range(4) r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 256),
+{rounds},
+{near.format(k=last)},
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{last}),
+c AS (SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY 1)
+SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c ON k.vec_id = c.vec_id, h
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_text": op2_html_text,
@@ -140,5 +177,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_pii": op10_pii,
+    "op11_alignment": op11_alignment,
+    "op12_quality": op12_quality,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op5_lm_score": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op5_lm_score": OP5_SQL, "op6_near_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op13_vector_codes": OP13_SQL}
