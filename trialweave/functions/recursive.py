@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import cmath
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Samples from which on traces are filtered in Arrow batches; the array fold copies its output at each step.
+#: Samples up to which a trace is filtered as an array, whose fold copies its output at each step; longer ones are scanned by blocks (operators.recurrence).
 LONG = 1000
 
 
@@ -60,27 +58,3 @@ def zero_phase(x: Column, b: list[float], a: list[float]) -> Column:
         return F.get(F.transform(F.array(values), lambda w: F.reverse(causal(w, b, a, [F.get(w, F.lit(0)) * s for s in z]))), F.lit(0))
 
     return F.when(n > pad, F.slice(one_way(one_way(F.concat(front, x, back))), pad + 1, n))
-
-
-def causal_batches(traces: DataFrame, column: str, out: str, b: list[float], a: list[float]) -> DataFrame:
-    """As causal(), for long arrays: a batch's traces of one length are filtered together, a step of time at once."""
-    n = len(a) - 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lengths = pdf[column].map(lambda v: -1 if v is None else len(v))
-            result = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            for size in sorted(set(lengths) - {-1}):
-                own = pdf.index[lengths == size]
-                x = np.array([np.asarray(v, dtype=float) for v in pdf.loc[own, column]]).reshape(len(own), size)
-                y, z = np.empty_like(x), np.zeros((len(own), n + 1))
-                for t in range(size):
-                    y[:, t] = b[0] * x[:, t] + z[:, 0]
-                    z[:, :n] = z[:, 1:] + x[:, t : t + 1] * np.array(b[1:]) - y[:, t : t + 1] * np.array(a[1:])
-                for i, row in zip(own, y):
-                    result[i] = [None if math.isnan(v) else v for v in row.tolist()]
-            yield pdf.assign(**{out: result})
-
-    from pyspark.sql.types import ArrayType, DoubleType, StructType
-
-    return traces.mapInPandas(run, StructType([*traces.schema.fields]).add(out, ArrayType(DoubleType())))

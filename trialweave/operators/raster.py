@@ -120,7 +120,11 @@ def normalised(pixels: DataFrame, value: str = "v", key: str = "img") -> DataFra
     Images without a positive pixel keep filt.
     """
     filt = blurred(pixels, {"filt": (0.7, None)}, value, key)
-    ends = percentiles(filt.where(F.col(value) > 0), [key], "filt", {"p_lo": 10, "p_hi": 99})
+    return scaled_between(filt, percentiles(filt.where(F.col(value) > 0), [key], "filt", {"p_lo": 10, "p_hi": 99}), key)
+
+
+def scaled_between(filt: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """Adds norm, filt between its image's p_lo and p_hi; images without them keep filt."""
     scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("filt") - F.col("p_lo")) / F.greatest(F.col("p_hi") - F.col("p_lo"), F.lit(EPS))))
     return filt.join(ends, key, "left").withColumn("norm", F.coalesce(scaled, "filt")).drop("p_lo", "p_hi")
 
@@ -154,7 +158,7 @@ def dilated(mask: DataFrame, radius: int, height: int | None, width: int | None,
     return near.where(inside).distinct()
 
 
-def _joined_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+def joined_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Gives the runs (r, c0, c1) of one mask the number of their component."""
     pdf = pdf.sort_values(["r", "c0"]).reset_index(drop=True)
     parent = list(range(len(pdf)))
@@ -181,16 +185,20 @@ def _joined_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop(columns="reach")
 
 
+def runs_of(mask: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, r, c0, c1): the runs of pixels along the rows of each mask, made by windows over a row."""
+    w = Window.partitionBy(*groups, "r").orderBy("c")
+    return mask.select(*groups, "r", "c").distinct().withColumn("island", F.col("c") - F.row_number().over(w)).groupBy(*groups, "r", "island").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).drop("island")
+
+
 def components(mask: DataFrame, groups: Sequence[str] = ("img",), connectivity: int = 8) -> DataFrame:
     """The mask's runs of pixels along rows, (groups, r, c0, c1, component): touching runs have one component.
 
-    Runs are made by windows; only they, not pixels, go to the grouped union-find, one mask at a time.
+    Only runs, not pixels, go to the grouped union-find, one mask at a time; tiles.area_opened() is for masks that no task holds.
     """
-    w = Window.partitionBy(*groups, "r").orderBy("c")
-    runs = mask.select(*groups, "r", "c").distinct().withColumn("island", F.col("c") - F.row_number().over(w)).groupBy(*groups, "r", "island").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).drop("island")
-    runs = runs.withColumn("reach", F.lit(1 if connectivity == 8 else 0))
+    runs = runs_of(mask, groups).withColumn("reach", F.lit(1 if connectivity == 8 else 0))
     kinds = dict(runs.dtypes)
-    return runs.groupBy(*groups).applyInPandas(_joined_runs, ", ".join(f"{c} {kinds[c]}" for c in (*groups, "r", "c0", "c1")) + ", component long")
+    return runs.groupBy(*groups).applyInPandas(joined_runs, ", ".join(f"{c} {kinds[c]}" for c in (*groups, "r", "c0", "c1")) + ", component long")
 
 
 def area_opened(mask: DataFrame, least: int, groups: Sequence[str] = ("img",), connectivity: int = 8) -> DataFrame:
@@ -253,10 +261,21 @@ def artifacts_filled(pixels: DataFrame, rows: DataFrame, fill: bool = True, inte
     return joined.withColumn("level", level).withColumn("v", F.when(F.col("bad"), F.col("level")).otherwise(F.col("v"))).drop("bad")
 
 
+def _finite(v: str) -> Column:
+    return F.when(F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), F.col(v))
+
+
+def sanitised(pixels: DataFrame, groups: Sequence[str] = ("img",)) -> DataFrame:
+    """Missing and non-finite values become their group's least finite one; a group without any is an error."""
+    least = pixels.groupBy(*groups).agg(F.min(_finite("v")).alias("_least"))
+    least = least.withColumn("_least", F.coalesce("_least", F.raise_error(F.lit("an image has no finite pixel")).cast("double")))
+    return pixels.join(least, list(groups)).withColumn("v", F.coalesce(_finite("v"), "_least")).drop("_least")
+
+
 def rescaled(pixels: DataFrame, groups: Sequence[str] = ("img",), top: int = 65535) -> DataFrame:
     """Adds u: values between each group's least and greatest scaled to 0..top and rounded; constant groups are 0, missing
-    and non-finite values count as the least finite one."""
-    finite = F.when(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
+    and non-finite values count as the least finite one. A group without any is 0; sanitised() raises there."""
+    finite = _finite("v")
     w = Window.partitionBy(*groups)
     ends = pixels.withColumn("_lo", F.min(finite).over(w)).withColumn("_hi", F.max(finite).over(w)).withColumn("_x", F.coalesce(finite, "_lo"))
     return ends.withColumn("u", F.coalesce(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * top + 0.5), F.lit(0)).cast("long")).drop("_lo", "_hi", "_x")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, sized
-from . import raster
+from . import graphs, raster
 from .trials import preferred
 
 
@@ -51,26 +51,31 @@ def judged(stats: DataFrame, rules: Quality, height: int | None = None, width: i
     return stats.withColumn("reject_reason", reason)
 
 
-def separated(regions: DataFrame, separation: float) -> DataFrame:
+def separated(regions: DataFrame, separation: float, small: int = graphs.SMALL_EDGES) -> DataFrame:
     """Regions (img, label, centroid_r, centroid_c, intensity) kept from the brightest down, unless nearer than `separation` to a kept one.
 
-    An image's regions are folded in order; images run in parallel.
+    Regions conflict in pairs, found by grid cells; what goes is found by rounds over the pairs (graphs.beaten), so one image's regions spread over all tasks.
+    Of equally bright regions the one with the smaller label comes first.
     """
-    point = F.struct((-F.col("intensity")).alias("i"), F.col("label").alias("label"), F.col("centroid_r").alias("r"), F.col("centroid_c").alias("c"))
-    ordered = regions.groupBy("img").agg(F.array_sort(F.collect_list(point)).alias("all"))
-    far = lambda a, b: (a["r"] - b["r"]) * (a["r"] - b["r"]) + (a["c"] - b["c"]) * (a["c"] - b["c"]) >= separation * separation
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.forall(acc, lambda k: far(k, x)), F.concat(acc, F.array(x))).otherwise(acc))
-    return regions.join(ordered.select("img", F.explode(kept).alias("k")).select("img", "k.label"), ["img", "label"], "left_semi")
+    first = (F.col("ai") > F.col("bi")) | (F.col("ai") == F.col("bi")) & (F.col("a") < F.col("b"))
+    pairs = _near(regions, separation).where(F.col("square") < separation * separation)
+    lost = graphs.beaten(pairs.select("img", F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")), ["img"], small)
+    return regions.join(lost.withColumnRenamed("node", "label"), ["img", "label"], "left_anti")
 
 
 def close_pairs(regions: DataFrame, separation: float) -> DataFrame:
     """(img, a, b, distance) of regions nearer than `separation`, a < b, found by grid cells of that size."""
+    return _near(regions, separation).select("img", "a", "b", F.sqrt("square").alias("distance")).where(F.col("distance") < separation)
+
+
+def _near(regions: DataFrame, separation: float) -> DataFrame:
+    """(img, a, b, ai, bi, square) of regions in the same or adjoining grid cells, a < b: their intensities and squared distance."""
     cell = lambda c: F.floor(F.col(c) / separation).cast("long")
-    own = regions.select("img", "label", "centroid_r", "centroid_c", cell("centroid_r").alias("gr"), cell("centroid_c").alias("gc"))
+    own = regions.select("img", "label", "centroid_r", "centroid_c", "intensity", cell("centroid_r").alias("gr"), cell("centroid_c").alias("gc"))
     near = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)])
-    spread = own.withColumn("o", F.explode(near)).select("img", (F.col("gr") + F.col("o.r")).alias("gr"), (F.col("gc") + F.col("o.c")).alias("gc"), F.col("label").alias("a"), F.col("centroid_r").alias("ar"), F.col("centroid_c").alias("ac"))
-    distance = F.sqrt((F.col("ar") - F.col("centroid_r")) * (F.col("ar") - F.col("centroid_r")) + (F.col("ac") - F.col("centroid_c")) * (F.col("ac") - F.col("centroid_c")))
-    return spread.join(own, ["img", "gr", "gc"]).where("a < label").select("img", "a", F.col("label").alias("b"), distance.alias("distance")).where(F.col("distance") < separation)
+    spread = own.withColumn("o", F.explode(near)).select("img", (F.col("gr") + F.col("o.r")).alias("gr"), (F.col("gc") + F.col("o.c")).alias("gc"), F.col("label").alias("a"), F.col("centroid_r").alias("ar"), F.col("centroid_c").alias("ac"), F.col("intensity").alias("ai"))
+    square = (F.col("ar") - F.col("centroid_r")) * (F.col("ar") - F.col("centroid_r")) + (F.col("ac") - F.col("centroid_c")) * (F.col("ac") - F.col("centroid_c"))
+    return spread.join(own, ["img", "gr", "gc"]).where("a < label").select("img", "a", F.col("label").alias("b"), "ai", F.col("intensity").alias("bi"), square.alias("square"))
 
 
 def numbered(regions: DataFrame, max_cells: int | None = None) -> DataFrame:
@@ -83,7 +88,7 @@ def numbered(regions: DataFrame, max_cells: int | None = None) -> DataFrame:
 
 def rough_regions(labels: DataFrame, rules: Quality, height: int | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Cells' pixels (img, cell, r, c, k) and the report of all labels (img, label, area, ..., cell, reject_reason)."""
-    report = judged(label_statistics(labels), rules, height, width)
+    report = materialize(judged(label_statistics(labels), rules, height, width), "judged")
     passed = separated(report.where("reject_reason is null"), rules.separation)
     cells = numbered(passed, rules.max_cells).select("img", "label", "cell")
     pixels = labels.join(cells, ["img", "label"]).select("img", "cell", "r", "c")

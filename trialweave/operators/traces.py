@@ -21,11 +21,16 @@ def corrected(df: DataFrame, signal: str = "roi_f", background: str = "bk_f", al
 def windows(traces: DataFrame, onsets: DataFrame, freq: float, ipi: float, n_pulses: float, pre: float, post: float) -> DataFrame:
     """(trial, holo, k, v...) of the frames within each onset's window; windows are cut at the trace's ends.
 
-    `onsets` has (trial, holo, onset) in seconds. An equi join on the trial carries the range.
+    `onsets` has (trial, holo, onset) in seconds. The join is on the trial and a bucket of frames as long as a window: a window lies in two of them at most,
+    so whatever the number of onsets, the join makes no more than twice the rows that stay, and a long trace is dealt out by buckets.
     """
     low, high = N.window_bounds(F.col("onset"), freq, ipi, n_pulses, pre, post)
-    spans = onsets.select("trial", "holo", low.alias("lo"), high.alias("hi"))
-    return traces.join(spans, "trial").where("frame between lo and hi").withColumn("k", F.col("frame") - F.col("lo") + 1).drop("lo", "hi")
+    length = max(1, N.response_length(freq, ipi, n_pulses, pre, post))
+    bucket = lambda x: F.floor(x / length).cast("long")
+    spans = onsets.select("trial", "holo", low.alias("lo"), high.alias("hi")).where("lo <= hi")
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
+    points = traces.withColumn("_bucket", bucket(F.col("frame"))).join(spans, ["trial", "_bucket"]).where("frame between lo and hi")
+    return points.withColumn("k", F.col("frame") - F.col("lo") + 1).drop("lo", "hi", "_bucket")
 
 
 def padded_windows(traces: DataFrame, onsets: DataFrame, length: int, freq: float, pre: float) -> DataFrame:
@@ -127,10 +132,15 @@ def rejected(points: DataFrame, groups: Sequence[str], values: Sequence[str] = (
     and rejects nothing, as soon as one of them is). Then it goes if its first maximum comes after `late`; this is skipped for
     both columns if the filtered one has a missing value.
     """
-    group, trial = Window.partitionBy(*groups), Window.partitionBy(*groups, "trial")
-    out = points
+    trial = Window.partitionBy(*groups, "trial")
+    # deviations are added up before they are dealt out by group; only a trial's own points come together in a task
+    spread = points.groupBy(*groups).agg(*[N.strict_sd(F.col(v)).alias(f"sd_{v}") for v in values])
+    spread = spread.select(*[F.col(g).alias(f"_{g}") for g in groups], *[f"sd_{v}" for v in values])
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    out = points.join(spread, same).drop(*[f"_{g}" for g in groups])
     for v in values:
-        out = out.withColumn(f"sd_{v}", N.strict_sd_over(F.col(v), group))
         low = F.max(F.coalesce(F.col(v) < -amplitude * F.col(f"sd_{v}"), F.lit(False))).over(trial)
         out = out.withColumn(f"_1_{v}", F.when(~low, F.col(v)))
     complete = F.count(F.lit(1)).over(trial) == F.count(f"_1_{values[1]}").over(trial)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, sized
+
 
 def holo_ids(points: DataFrame, order: list[str]) -> DataFrame:
     """(trial, position, holo): a sequence's distinct values in the order of their first sight, less the trial's least, plus 1.
@@ -28,12 +30,30 @@ def with_conditions(trials: DataFrame, conds: DataFrame, default: str) -> DataFr
 
     `conds` has (cond, n_holos, first_stim array): a dimension, of which the default is one row.
     """
-    vector = F.when(F.size("first_stim") > 0, F.col("first_stim"))
+    vector = F.when(F.size("first_stim") > 0, F.col("first_stim").cast("array<double>"))
     spare = conds.where(F.col("cond") == default).agg(F.first(vector, ignorenulls=True).alias("spare"))
     filled = conds.crossJoin(spare).select("cond", "n_holos", F.coalesce(vector, F.col("spare")).alias("first_stim"))
     return trials.join(filled, "cond", "left").withColumn("has_metadata", F.col("n_holos").isNotNull())
 
 
+def session_fields(records: DataFrame) -> DataFrame:
+    """Raw session records, one a row, with the fields that an analysis takes: numbers as such, lists as lists of their numbers.
+
+    Adds n_trials and n_conds; times of the start in seconds; the first condition's number of holos is the largest one; pulse durations are the
+    distinct ones that aren't 0, in order, of which numbers of pulses, their distance and the holos' delay take the first. Absent lists are empty.
+    """
+    numbers = lambda c: F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>"))
+    lists = lambda c: F.coalesce(F.transform(c, lambda x: F.coalesce(x.cast("array<double>"), F.array().cast("array<double>"))), F.array().cast("array<array<double>>"))
+    present = lambda c: F.array_sort(F.filter(F.array_distinct(numbers(c)), lambda x: x != 0))
+    holos = numbers("n_holos").cast("array<long>")
+    whole = F.when(F.size(holos) > 0, F.concat(F.array(F.array_max(holos)), F.slice(holos, 2, F.greatest(F.size(holos) - 1, F.lit(0))))).otherwise(holos)
+    return records.select(
+        "session", *[F.col(c).cast("double").alias(c) for c in ("imaging_freq", "fs", "trial_time", "start_time_ms")], (F.col("start_time_ms").cast("double") / 1000).alias("start_time"), "mouse_id",
+        numbers("trial_cond").cast("array<long>").alias("trial_cond"), F.size(numbers("trial_cond")).cast("long").alias("n_trials"), F.size(lists("sequence")).cast("long").alias("n_conds"), numbers("powers").alias("powers"),
+        *[lists(c).alias(c) for c in ("sequence", "sequence_this_trial", "first_stim_times")], whole.alias("n_holos"), present("pulse_dur").alias("pulse_durs"),
+        *[F.get(present(c), F.lit(0)).alias(c) for c in ("n_pulses", "ipi", "next_holo_delay")])
+
+
 def condition_counts(points: DataFrame, first: str) -> DataFrame:
     """(cond, n_holos) from (cond, pos): distinct non-zero positions; the first condition takes the largest count."""
     counts = points.where("pos <> 0").groupBy("cond").agg(F.count_distinct("pos").alias("n_holos"), F.array_sort(F.collect_set("pos")).alias("positions"))
@@ -52,13 +72,23 @@ def eligible(trials: DataFrame, low: int, high: int, share: float = 1.0, seed: i
 
 def _ranked(trials: DataFrame, by: list[str]) -> DataFrame:
     """Adds rank (from 1) and total. Ranks come from range-partitioned sorting and counts of the partitions, so no task sorts all trials."""
-    spread = trials.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+    # written with the number of each row's partition, which both its counts and its ranks refer to
+    spread = materialize(trials.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranked")
     counts = spread.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy()).alias("total"))
     own = spread.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(*by)))
     return own.join(F.broadcast(before), "part").select(*trials.columns, (F.col("own") + F.col("before")).alias("rank"), "total")
 
 
+def ranked_within(rows: DataFrame, groups: list[str], by: list[str], out: str) -> DataFrame:
+    """Adds a row's number (from 1) within its group, in the order of `by`; of groups that aren't null. As _ranked(), no task sorts a group."""
+    spread = materialize(rows.repartitionByRange(*groups, *by).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = spread.groupBy(*groups, "_part").count()
+    before = counts.select(*groups, "_part", (F.sum("count").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("count")).alias("_before"))
+    own = spread.withColumn("_own", F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*by)))
+    return own.join(sized(before), [*groups, "_part"]).select(*rows.columns, (F.col("_own") + F.col("_before")).cast("long").alias(out))
+
+
 def evenly_spaced(trials: DataFrame, n: int) -> DataFrame:
     """At most n trials, evenly spaced by rank from the first to the last."""
     ranked = _ranked(trials.select("trial").distinct(), ["trial"])
@@ -81,7 +111,7 @@ def latest(records: DataFrame, groups: list[str], by: str) -> DataFrame:
 
 def index_by_name(files: DataFrame, groups: list[str]) -> DataFrame:
     """Trial numbers by the alphabetical order of paths within a folder."""
-    return files.withColumn("trial", F.row_number().over(Window.partitionBy(*groups).orderBy("path")).cast("long"))
+    return ranked_within(files, groups, ["path"], "trial")
 
 
 def electrodes(first: DataFrame, second: DataFrame | None) -> DataFrame:

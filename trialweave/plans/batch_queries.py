@@ -91,5 +91,29 @@ h AS (SELECT c.*, sd / sqrt(n_cols) * q.t AS half FROM c LEFT JOIN q ON q.df = n
 SELECT cond, CAST(k AS BIGINT) AS k, n_cols, n, round(mean, 6) + 0.0 AS mean, round(mean - half, 6) + 0.0 AS ci_lo, round(mean + half, 6) + 0.0 AS ci_hi FROM h
 """
 
-QUERIES = {f.__name__: f for f in (region_responses, batch_run, nested_snapshot, sorted_sweeps)}
-ORACLE_SQL = {"region_responses": REGION_RESPONSES_SQL, "nested_snapshot": SNAPSHOT_SQL, "sorted_sweeps": SORTED_SWEEPS_SQL}
+#: Windows that reach beyond the sweeps' ends, so that they are cut to what all sweeps have.
+_POST = 80.0
+
+
+def condition_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of all trials sorted by condition and place: filtered by blocks, cut to one length, detrended; trials of a high baseline have NULLs."""
+    sweeps = B.traces(spark, sf_dir)
+    high = T.baselined(sweeps.withColumnRenamed("frame", "i"), 16, 1.06).select("trial", "cond", "excluded").distinct()
+    onsets = high.select("trial", F.col("cond").alias("holo"), F.lit(0.066).alias("onset"))
+    got = S.condition_sweeps(sweeps.select("trial", "frame", "v"), high, onsets, 500.0, 120.0, 5.0, 1.0, 34.0, _POST)
+    return got["windows"].select("cond", "holo", "place", "trial", "k", *r6("flat"))
+
+
+def _used_length() -> int:
+    start = (0.066 - 34.0 / 1000) * 500.0
+    high = math.ceil(start) + math.ceil((5.0 * 1 + 34.0 + _POST) / 1000 * 500.0)
+    return min(high - _LOW + 1, min(64, high) - max(1, _LOW) + 1)
+
+
+CONDITION_SWEEPS_SQL = SORTED_SWEEPS_SQL.split("m AS (SELECT cond")[0].replace("range(1, 33)", f"range(1, {_used_length() + 1})").replace("SELECT p.trial, cond, k, v - ", "SELECT p.trial, p.cond, k, v - ") + """
+s AS (SELECT trial, row_number() OVER (PARTITION BY cond ORDER BY trial) AS place FROM x)
+SELECT cond, cond AS holo, place, o.trial, CAST(k AS BIGINT) AS k, round(rest - median(CASE WHEN k <= 16 THEN rest END) OVER (PARTITION BY o.trial), 6) + 0.0 AS flat FROM o JOIN s ON o.trial = s.trial
+"""
+
+QUERIES = {f.__name__: f for f in (region_responses, batch_run, nested_snapshot, sorted_sweeps, condition_sweeps)}
+ORACLE_SQL = {"condition_sweeps": CONDITION_SWEEPS_SQL, "region_responses": REGION_RESPONSES_SQL, "nested_snapshot": SNAPSHOT_SQL, "sorted_sweeps": SORTED_SWEEPS_SQL}

@@ -215,6 +215,18 @@ def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ring(mask(spark, sf_dir, 0.42), p, 64, 64, least_component=3)
 
 
+_RH = "greatest(1.0, least(n * 1.0, n * 0.95 + 0.5))"
+RING_SQL = f"""
+WITH RECURSIVE {PIXELS_SQL}, seed AS (SELECT img, r, c FROM px WHERE v > 0.42), {_dilate_sql('far', 5, 'seed')}, {_dilate_sql('near', 2, 'seed')},
+raw AS (SELECT far.img, far.r, far.c, v FROM far JOIN px USING (img, r, c) ANTI JOIN near USING (img, r, c)),
+l AS (SELECT img, list_sort(list(v)) AS v, count(*) AS n FROM raw GROUP BY 1),
+cut AS (SELECT img, v[CAST(floor({_RH}) AS INT)] + ({_RH} - floor({_RH})) * (v[least(CAST(floor({_RH}) AS INT) + 1, n)] - v[CAST(floor({_RH}) AS INT)]) AS cut FROM l),
+m AS (SELECT raw.img, r, c FROM raw JOIN cut USING (img) WHERE v <= cut), {_open_sql('m', 3)},
+big AS (SELECT img FROM opened GROUP BY 1 HAVING count(*) >= 50)
+SELECT img, r, c FROM opened SEMI JOIN big USING (img) UNION ALL SELECT img, r, c FROM raw ANTI JOIN big USING (img)
+"""
+
+
 def union_and_ring_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of any cell's region, numbered down the columns, and how many of each image's bright pixels lie outside."""
     own = R.column_major(regions(spark).select(F.lit(0).cast("long").alias("g"), "r", "c").distinct(), ["g"])
@@ -351,7 +363,7 @@ QUERIES = {f.__name__: f for f in (
     label_stats, roi_quality, roi_conflicts, roi_separation, rough_rois, roi_report, roi_report_json, roi_zip_load, fine_roi_global, fine_roi_trial)}
 ORACLE_SQL = {
     "roi_exact_mean": ROI_EXACT_SQL, "roi_rectangle_mean": ROI_RECTANGLE_SQL, "template_image": TEMPLATE_SQL, "capped_mean_image": CAPPED_SQL, "rescale_u16": RESCALE_SQL, "bad_rows": BAD_ROWS_SQL,
-    "artifact_fill": ARTIFACT_FILL_SQL, "gaussian_blur": BLUR_SQL, "hessian_eig": HESSIAN_SQL, "ridge": _ridge_sql(), "normalised_image": _norm_sql(), "dilate": DILATE_SQL, "area_open": AREA_OPEN_SQL,
+    "artifact_fill": ARTIFACT_FILL_SQL, "gaussian_blur": BLUR_SQL, "hessian_eig": HESSIAN_SQL, "ridge": _ridge_sql(), "normalised_image": _norm_sql(), "dilate": DILATE_SQL, "area_open": AREA_OPEN_SQL, "ring": RING_SQL,
     "union_and_ring_pixels": UNION_SQL, "label_stats": LABEL_STATS_SQL, "roi_quality": QUALITY_SQL, "roi_conflicts": CONFLICTS_SQL, "roi_separation": SEPARATION_SQL, "rough_rois": ROUGH_SQL, "roi_report": REPORT_SQL,
     "roi_report_json": REPORT_JSON_SQL, "roi_zip_load": ZIP_SQL,
 }

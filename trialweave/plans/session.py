@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import recursive
 from ..operators import raster as R
+from ..operators import recurrence
 from ..operators import regions as G
 from ..operators import traces as T
+from ..operators.trials import ranked_within
 from ..sources.scratch import materialize
 
 
@@ -63,14 +65,22 @@ def extracted(pixels: DataFrame, regions: DataFrame, session: Session, bad_rows:
 def traces_of(pixels: DataFrame, fine: DataFrame, rings: DataFrame, session: Session, bad_rows: DataFrame | None = None) -> DataFrame:
     """(cell, trial, frame, roi_f, bk_f, corr_f, filt_f) of regions and their surroundings.
 
-    The filter runs over each trace as an array; a trace is a group of one cell and trial.
+    A trace is a cell's in a trial. Traces of up to recursive.LONG frames are filtered as arrays, longer ones by blocks.
     """
     roi = extracted(pixels, fine, session, bad_rows).withColumnRenamed("mean_f", "roi_f")
     around = extracted(pixels, rings, session, bad_rows).withColumnRenamed("mean_f", "bk_f")
     rows = T.corrected(roi.join(around, ["cell", "trial", "frame"], "left"), alpha=session.alpha)
+    b, a = recursive.low_pass(4, session.cutoff, session.freq)
+    last = pixels.agg(F.max("frame")).first()[0] or 0
+    if last > recursive.LONG:
+        rows = materialize(rows, "corrected").withColumn("_key", F.struct("cell", "trial"))
+        places = rows.select("_key", "frame", F.col("corr_f").alias("v"))
+        filt = recurrence.causal(places.withColumn("_key", F.to_json("_key")), b, a, "_key", out="filt_f")
+        both = rows.withColumn("_key", F.to_json("_key")).join(filt, ["_key", "frame"])
+        return both.select("cell", "trial", "frame", "roi_f", "bk_f", "corr_f", "filt_f")
     point = F.struct("frame", "roi_f", "bk_f", "corr_f")
     arrays = rows.groupBy("cell", "trial").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    arrays = arrays.withColumn("filt", recursive.causal(F.col("p.corr_f"), *recursive.low_pass(4, session.cutoff, session.freq)))
+    arrays = arrays.withColumn("filt", recursive.causal(F.col("p.corr_f"), b, a))
     return arrays.select("cell", "trial", F.explode(F.arrays_zip("p", F.col("filt").alias("filt_f"))).alias("x")).select("cell", "trial", "x.p.frame", "x.p.roi_f", "x.p.bk_f", "x.p.corr_f", "x.filt_f")
 
 
@@ -106,8 +116,11 @@ def run(pixels: DataFrame, rough: DataFrame, stimuli: DataFrame, session: Sessio
         check_cells(rough, rings)
     if bad_rows is None and session.bad_rows:
         bad_rows = R.row_artifacts(pixels, *session.bad_rows, groups=("trial", "frame")).where("bad").select("trial", "frame", "r")
+    kept = stimuli.where("not excluded").select("trial").distinct()
+    if pixels.select("trial").join(kept, "trial", "left_semi").isEmpty():
+        raise ValueError("no trial is left for the mean image: none has frames and isn't excluded")
     images = R.trial_images(pixels)
-    grand = R.template(R.trial_images(clean(pixels) if clean else pixels, cap=max(1, int(4 * session.freq))).join(stimuli.where("not excluded").select("trial").distinct(), "trial", "left_semi"))
+    grand = R.template(R.trial_images(clean(pixels) if clean else pixels, cap=max(1, int(4 * session.freq))).join(kept, "trial", "left_semi"))
     global_rings = G.fine_regions(grand.select("r", "c", "v"), rough, height, width)[1] if rings is None else rings
     fine = materialize(G.trial_fine_regions(images, rough, override=override), "fine")
     around = materialize(G.trial_rings(fine, images, global_rings, height, width), "rings")
@@ -148,20 +161,45 @@ def write_snapshot(folder: str, results: dict[str, DataFrame], alpha: float = T.
 
 
 def sorted_sweeps(sweeps: DataFrame, onsets: DataFrame, excluded: DataFrame, freq: float, cutoff: float, length: int, pre: float) -> DataFrame:
-    """(trial, holo, k, flat): each trial's sweep (trial, samples array) filtered without phase, cut around its onsets, detrended and set to zero
+    """(trial, holo, k, flat): each trial's sweep filtered without phase, cut around its onsets, detrended and set to zero
     by the points before the stimulus. Excluded trials have NULLs.
 
-    `onsets` has (trial, holo, onset in seconds), `excluded` the trials.
+    `sweeps` has (trial, samples array), or (trial, frame, v) for sweeps of any length; `onsets` (trial, holo, onset in seconds), `excluded` the trials.
     """
     kept = sweeps.join(excluded.select("trial").distinct(), "trial", "left_anti")
-    filtered = kept.select("trial", F.posexplode(recursive.zero_phase(F.col("samples"), *recursive.low_pass(4, cutoff, freq))).alias("p", "v"))
-    points = T.padded_windows(filtered.select("trial", (F.col("p") + 1).cast("long").alias("frame"), "v"), onsets, length, freq, pre)
+    b, a = recursive.low_pass(4, cutoff, freq)
+    if "samples" in sweeps.columns:
+        filtered = kept.select("trial", F.posexplode(recursive.zero_phase(F.col("samples"), b, a)).alias("p", "v")).select("trial", (F.col("p") + 1).cast("long").alias("frame"), "v")
+    else:
+        filtered = recurrence.zero_phase(kept, b, a, out="filt").withColumnRenamed("filt", "v")
+    points = T.padded_windows(filtered, onsets, length, freq, pre)
     return T.detrended(points, ["trial", "holo"], max(1, int(pre / 1000 * freq + 0.5) - 1), freq)
 
 
+def condition_sweeps(sweeps: DataFrame, trials: DataFrame, onsets: DataFrame, freq: float, cutoff: float, ipi: float, n_pulses: float, pre: float, post: float) -> dict[str, DataFrame]:
+    """Sweeps sorted by condition: `sweeps` has (trial, frame, v), `trials` (trial, cond, excluded), `onsets` (trial, holo, onset).
+
+    Gives "inputs" (cond, place, trial, frame, v): whole sweeps, a condition's trials in their order, excluded ones too; and "windows"
+    (cond, holo, place, trial, k, flat): those cut around the stimuli, all of one length, the smallest that the kept trials' sweeps
+    have (traces.window_lengths). Excluded trials have windows of NULLs.
+    """
+    size = sweeps.join(trials.where("not excluded").select("trial"), "trial", "left_semi").groupBy("trial").agg(F.max("frame").alias("n"))
+    length = T.window_lengths(size, onsets.join(trials.select("trial"), "trial", "left_semi"), freq, ipi, n_pulses, pre, post).first().used
+    flat = sorted_sweeps(sweeps, onsets, trials.where("excluded").select("trial"), freq, cutoff, length, pre)
+    place = materialize(ranked_within(trials.select("cond", "trial").distinct(), ["cond"], ["trial"], "place"), "places")
+    return {"inputs": sweeps.join(place, "trial").select("cond", "place", "trial", "frame", "v"), "windows": flat.join(place, "trial").select("cond", "holo", "place", "trial", "k", "flat")}
+
+
 def bootstrap_regions(image: DataFrame, labels: DataFrame, rules: G.Quality, height: int, width: int) -> dict[str, DataFrame]:
-    """Rough regions of one image's label raster (r, c, label), their fine regions and surroundings in the image (r, c, v), and the report."""
-    raster = labels.join(image, ["r", "c"]).select(F.lit(0).cast("long").alias("img"), "r", "c", "label", F.col("v").alias("intensity"))
+    """Rough regions of one image's label raster (r, c, label), their fine regions and surroundings in the image (r, c, v), and the report.
+
+    An image without a finite pixel, one without a label and one whose labels are all rejected are errors; the last names why.
+    """
+    clean = R.sanitised(image.withColumn("img", F.lit(0).cast("long")))
+    raster = labels.join(clean, ["r", "c"]).select("img", "r", "c", "label", F.col("v").alias("intensity"))
     rough, report = G.rough_regions(raster, rules, height, width)
+    if rough.isEmpty():
+        told = report.orderBy("label").limit(20).collect()
+        raise ValueError("no label was found" if not told else "all labels were rejected:\n" + "\n".join(f"  label {r.label}: {r.reject_reason}" for r in told))
     fine, rings = G.fine_regions(image, rough, height, width)
     return {"rough": rough, "fine": fine, "rings": rings, "report": report}

@@ -75,7 +75,7 @@ def trial_dff_common_f0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIAL_DFF_COMMON_SQL = f"""
 WITH {TRACES_SQL},
-a AS (SELECT p.trial, p.frame AS start, var_pop(q.v) AS var, avg(q.v) AS f0 FROM t p JOIN t q ON p.trial = q.trial AND q.frame BETWEEN p.frame AND p.frame + {WIDTH - 1} WHERE p.frame <= {PRE_END - WIDTH + 1} GROUP BY 1, 2),
+a AS (SELECT * FROM (SELECT trial, frame AS start, var_pop(v) OVER w AS var, avg(v) OVER w AS f0 FROM t WINDOW w AS (PARTITION BY trial ORDER BY frame ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING)) WHERE start <= {PRE_END - WIDTH + 1}),
 b AS (SELECT trial, arg_min(start, var) AS start, arg_min(f0, var) AS f0 FROM a GROUP BY trial)
 SELECT t.trial, cond, frame - 16 AS k, start, round(f0, 6) + 0.0 AS f0, round((v - f0) / nullif(f0, 0), 6) + 0.0 AS dff
 FROM t JOIN b ON t.trial = b.trial WHERE frame BETWEEN 17 AND {16 + WINDOW}
@@ -327,6 +327,31 @@ SELECT cond, CASE WHEN cond = '1-URGENT' THEN max(n) OVER () ELSE n END AS n_hol
 """
 
 
+def session_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a session's record: each order is a trial and a condition, its lines give the sequence."""
+    lines = B.stored(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("seq"), F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    orders = B.stored(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    own = orders.groupBy(F.col("o_custkey").alias("session")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "seq", "n", "quantity", F.substring("o_orderpriority", 1, 1).alias("p")))).alias("o"))
+    raw = own.select(
+        "session", F.lit(30).alias("imaging_freq"), F.lit(20000).alias("fs"), F.lit(2).alias("trial_time"), (F.size("o") * 250).alias("start_time_ms"), F.col("session").cast("string").alias("mouse_id"), F.col("o.p").alias("trial_cond"),
+        F.col("o.quantity").alias("powers"), F.col("o.seq").alias("sequence"), F.col("o.seq").alias("sequence_this_trial"), F.transform("o.seq", lambda s: F.slice(s, 1, 1)).alias("first_stim_times"), F.col("o.n").alias("n_holos"),
+        F.transform("o.quantity", lambda q: q % 3).alias("pulse_dur"), F.transform("o.n", lambda n: n % 4).alias("n_pulses"), F.col("o.p").alias("ipi"), F.transform("o.quantity", lambda q: q % 2).alias("next_holo_delay"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("long").cast("string"), F.lit("none"))), ",").alias(c)
+    got = TR.session_fields(raw).withColumns({"n_points": F.aggregate("sequence", F.lit(0).cast("long"), lambda s, x: s + F.size(x)), "n_onsets": F.aggregate("first_stim_times", F.lit(0).cast("long"), lambda s, x: s + F.size(x))})
+    return got.select("session", "mouse_id", "imaging_freq", "start_time", "n_trials", "n_conds", "n_points", "n_onsets", *map(text, ("trial_cond", "powers", "n_holos", "pulse_durs")), "n_pulses", "ipi", "next_holo_delay")
+
+
+SESSION_RECORD_SQL = """
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1),
+o AS (SELECT o_custkey AS session, o_orderkey AS k, n, q, CAST(left(o_orderpriority, 1) AS BIGINT) AS p FROM orders LEFT JOIN l ON k = o_orderkey),
+r AS (SELECT session, count(*) AS n_trials, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_points, count(n) AS n_onsets, string_agg(CAST(p AS VARCHAR), ',' ORDER BY k) AS trial_cond, string_agg(coalesce(CAST(q AS VARCHAR), 'none'), ',' ORDER BY k) AS powers,
+  list(n ORDER BY k) AS ns, max(n) AS most, string_agg(DISTINCT CAST(q % 3 AS VARCHAR), ',' ORDER BY CAST(q % 3 AS VARCHAR)) FILTER (WHERE q % 3 <> 0) AS durs,
+  CAST(min(n % 4) FILTER (WHERE n % 4 <> 0) AS DOUBLE) AS n_pulses, CAST(min(p) FILTER (WHERE p <> 0) AS DOUBLE) AS ipi, CAST(min(q % 2) FILTER (WHERE q % 2 <> 0) AS DOUBLE) AS delay FROM o GROUP BY 1)
+SELECT session, CAST(session AS VARCHAR) AS mouse_id, CAST(30 AS DOUBLE) AS imaging_freq, n_trials * 0.25::DOUBLE AS start_time, n_trials, n_trials AS n_conds, n_points, n_onsets, trial_cond, powers,
+  array_to_string(list_transform(list_concat([most], ns[2:]), lambda x: coalesce(CAST(x AS VARCHAR), 'none')), ',') AS n_holos, coalesce(durs, '') AS pulse_durs, n_pulses, ipi, delay AS next_holo_delay FROM r
+"""
+
+
 def trial_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions known by the late half of the parts of their line numbers; one has no onsets and one isn't known at all."""
     points = B.trials(spark, sf_dir).join(B.trial_points(spark, sf_dir), "trial").where("cond <> '5-LOW'")
@@ -418,13 +443,13 @@ COLUMNS_SQL = f"WITH {WINDOWS_SQL} SELECT cond, trial // 100 AS holo, k, string_
 
 QUERIES = {f.__name__: f for f in (
     pulse_ranges, holo_mean_ci, trial_dff, trial_dff_common_f0, trial_dff_filtered, window_extract, window_lengths, baseline_exclude, detrended_sweeps, sweep_ci, trial_excluder, hazen_percentile, mad_outliers,
-    interleave_metrics, channel_split, iir_causal, iir_zero_phase, holo_ids, session_normalise, trial_metadata_join, eligible_trials, trial_sample, trial_progress, latest_record, trial_index,
+    interleave_metrics, channel_split, iir_causal, iir_zero_phase, holo_ids, session_normalise, session_record, trial_metadata_join, eligible_trials, trial_sample, trial_progress, latest_record, trial_index,
     electrode_union, parity_report, condition_columns)}
 ORACLE_SQL = {
     "pulse_ranges": PULSES_SQL,
     "holo_mean_ci": HOLO_MEAN_CI_SQL, "trial_dff": TRIAL_DFF_SQL, "trial_dff_common_f0": TRIAL_DFF_COMMON_SQL, "window_extract": WINDOW_EXTRACT_SQL, "window_lengths": WINDOW_LENGTHS_SQL, "baseline_exclude": BASELINE_SQL,
     "detrended_sweeps": f"WITH {FLAT_SQL} SELECT trial, cond, k, round(flat, 6) + 0.0 AS flat FROM f", "sweep_ci": SWEEP_CI_SQL, "trial_excluder": TRIAL_EXCLUDER_SQL, "hazen_percentile": HAZEN_SQL, "mad_outliers": MAD_SQL,
-    "interleave_metrics": INTERLEAVE_SQL, "channel_split": CHANNEL_SPLIT_SQL, "iir_causal": CAUSAL_SQL, "iir_zero_phase": ZERO_PHASE_SQL, "trial_dff_filtered": FILTERED_SQL, "holo_ids": HOLO_IDS_SQL, "session_normalise": SESSION_SQL, "trial_metadata_join": METADATA_SQL,
+    "interleave_metrics": INTERLEAVE_SQL, "channel_split": CHANNEL_SPLIT_SQL, "iir_causal": CAUSAL_SQL, "iir_zero_phase": ZERO_PHASE_SQL, "trial_dff_filtered": FILTERED_SQL, "holo_ids": HOLO_IDS_SQL, "session_normalise": SESSION_SQL, "session_record": SESSION_RECORD_SQL, "trial_metadata_join": METADATA_SQL,
     "eligible_trials": ELIGIBLE_SQL, "trial_sample": TRIAL_SAMPLE_SQL, "trial_progress": PROGRESS_SQL, "latest_record": LATEST_SQL, "trial_index": TRIAL_INDEX_SQL, "electrode_union": ELECTRODE_SQL,
     "parity_report": PARITY_SQL, "condition_columns": COLUMNS_SQL,
 }
