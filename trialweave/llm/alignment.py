@@ -11,7 +11,7 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from .common import map_batches, materialize
 
 #: White space from which on a text goes to the slower of two equal encoders, as the faster one's pattern runs out of stack.
 LONG_SPACE = 4096
+#: Characters of texts that are aligned at once; their tokens take some hundred bytes a character.
+CHUNK_CHARS = 1 << 19
 #: The pre-tokenizing pattern of byte-level BPE, a fixed value of the public format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -178,6 +180,20 @@ def most_pairs(path_a: str, path_b: str) -> int:
     return ends(a, b, 0) + ends(b, a, 1)
 
 
+def _chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[list[str | None]]:
+    """The texts in turn, in lists of up to `most` characters or of one text."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t or "") > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
 def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links of each row of (doc_id, text)."""
 
@@ -185,7 +201,7 @@ def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         own = _shared(path_a, path_b)
 
         def one(batch: pa.RecordBatch) -> list:
-            found = own.align(batch.column(1).to_pylist())
+            found = [f for texts in _chunks(batch.column(1).to_pylist()) for f in own.align(texts)]
             column = lambda name: [f[name] for f in found]
             digests = [hashlib.sha256(x).hexdigest() if x else "" for x in column("listing")]
             offsets = np.cumsum([0, *map(len, column("links"))]).astype(np.int32)
