@@ -13,12 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..sources.scratch import materialize
+from .versioned import BUCKETS, Files, VersionedTable
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 #: Name of a trial's file; seconds that it must have been unchanged; times that a trial waits for its metadata.
 TRIAL_FILE, QUIET_SECONDS, RETRIES = r"_(\d+)_mc\.tif$", 3, 30
-#: Folders that the state is dealt to; a batch rewrites those of its trials only.
-BUCKETS = 64
 #: Bad trials of a batch beyond which the fault is taken to be the processing's, and raised.
 MOST_BAD = 100
 #: SQL states of errors that a row's values cause: data exceptions, raised errors, errors in functions written in Python.
@@ -64,7 +63,7 @@ def complete_files(folder: str, pattern: str = "*.tif") -> Callable[[DataFrame],
 
 @dataclass
 class LiveState:
-    """Rows keyed by trial in `folder`: a batch replaces all rows of its trials, so a resent trial counts once.
+    """Rows keyed by trial in `folder`, a table of versions: a batch replaces all rows of its trials, so a resent trial counts once.
 
     `metadata` gives the current table of trials (trial, ...), read again for each batch. Trials without a row there wait in
     `pending` and are tried with later batches, up to `retries` times; then they are listed in `failed`. There too go the trials
@@ -81,6 +80,12 @@ class LiveState:
     retries: int = RETRIES
     buckets: int = BUCKETS
     log: list[tuple[int, str]] = field(default_factory=list)
+    #: Rows that the last batch has merged.
+    fresh: DataFrame | None = None
+
+    @property
+    def table(self) -> VersionedTable:
+        return VersionedTable(f"{self.folder}/results", ("trial",), self.buckets)
 
     def _table(self, spark: SparkSession, name: str, schema: StructType | None = None) -> DataFrame | None:
         try:
@@ -91,13 +96,12 @@ class LiveState:
             return None
 
     def results(self, spark: SparkSession) -> DataFrame | None:
-        rows = self._table(spark, "results")
-        return rows.drop("bucket") if rows is not None else None
+        return self.table.read(spark)
 
     def _processed(self, rows: DataFrame, bad: list[tuple], level: int = 0) -> list[DataFrame]:
         """Written results of the rows; trials that fail by their values go to `bad`, found by halving the trials."""
         try:
-            return [materialize(self.process(rows).withColumn("bucket", F.pmod(F.xxhash64("trial"), F.lit(self.buckets))), "processed")]
+            return [materialize(self.process(rows), "processed")]
         except Exception as e:
             if not _DATA_ERROR.search(str(e)):
                 raise
@@ -152,19 +156,12 @@ class LiveState:
             waits = waits.unionByName(again.withColumn("tries", F.col("tries") - 1))
             new = new.join(again.select("trial"), "trial", "left_anti") if new is not None else None
         if new is not None:
-            self._merge(spark, materialize(new, "good"))
+            self.fresh = materialize(new, "good")
+            self.table.merge(self.fresh, batch_id)
         waits.write.mode("overwrite").parquet(f"{self.folder}/pending/batch={batch_id}")
         if self.on_batch and new is not None:
             self.on_batch(batch_id, self.results(spark))
 
-    def _merge(self, spark: SparkSession, new: DataFrame) -> None:
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        old = self._table(spark, "results")
-        if old is not None:
-            kept = old.where(F.col("bucket").isin(touched)).join(new.select("trial").distinct(), "trial", "left_anti")
-            new = materialize(new.unionByName(kept.select(new.columns)), "merged")
-        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/results")
-
 
 def start(stream: DataFrame, state: LiveState, checkpoint: str, backlog_only: bool = False) -> StreamingQuery:
     """Runs the state over a stream; with `backlog_only`, over what is there now."""
@@ -186,8 +183,17 @@ def stop_when_idle(query: StreamingQuery, seconds: float, done: Callable[[], boo
 
 def status(results: DataFrame, planned: int | None = None) -> DataFrame:
     """One row: trials seen and planned, rows, trials by condition and the time; a trial has one condition, 'none' if it is missing. The trials themselves are in seen()."""
+    return _status(by_trial(results), planned)
+
+
+def by_trial(results: DataFrame) -> DataFrame:
+    """(trial, cond, rows), a row a trial."""
     cond = F.coalesce(F.max(F.col("cond").cast("string")), F.lit("none")) if "cond" in results.columns else F.lit("none")
-    by_cond = results.groupBy("trial").agg(cond.alias("cond"), F.count(F.lit(1)).alias("rows")).groupBy("cond").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    return results.groupBy("trial").agg(cond.alias("cond"), F.count(F.lit(1)).alias("rows"))
+
+
+def _status(trials: DataFrame, planned: int | None) -> DataFrame:
+    by_cond = trials.groupBy("cond").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
     zero = F.lit(0).cast("long")
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("cond", "n"))))
     row = by_cond.agg(F.coalesce(F.sum("n"), zero).alias("n_trials"), F.coalesce(F.sum("rows"), zero).alias("n_rows"), pairs.alias("trials_by_cond"))
@@ -199,18 +205,31 @@ def seen(results: DataFrame) -> DataFrame:
     return results.select("trial").distinct().orderBy("trial")
 
 
-def snapshot_writer(folder: str, planned: int | None = None) -> Callable[[int, DataFrame], None]:
-    """For LiveState.on_batch: a new folder a batch with the results, the trials seen, and a status that is written last; readers take the newest status."""
+def snapshot_writer(state: LiveState, planned: int | None = None) -> Callable[[int, DataFrame], None]:
+    """For `state.on_batch`: after a batch, its trials in a table of trials, then a status that names the version of the results; readers take the newest status.
+
+    What a batch writes goes with its own trials: the results are the state's, of which each version stays readable.
+    """
+    trials = VersionedTable(f"{state.folder}/trials", ("trial",), state.buckets)
 
     def write(batch_id: int, results: DataFrame) -> None:
-        results.write.mode("overwrite").parquet(f"{folder}/snapshot/batch={batch_id}")
-        written = results.sparkSession.read.parquet(f"{folder}/snapshot/batch={batch_id}")
-        seen(written).write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
-        status(written, planned).write.mode("overwrite").json(f"{folder}/status/batch={batch_id}")
+        trials.merge(by_trial(state.fresh), batch_id)
+        row = _status(trials.read(results.sparkSession), planned).withColumn("version", F.lit(batch_id).cast("long"))
+        row.coalesce(1).write.mode("overwrite").json(f"{state.folder}/status/batch={batch_id:012d}")
 
     return write
 
 
+def read_snapshot(spark: SparkSession, state: LiveState) -> tuple[DataFrame, DataFrame, dict] | None:
+    """The results, the trials (trial, cond, rows) and the status of the newest complete snapshot, all of one version; None before the first."""
+    files = Files(spark, f"{state.folder}/status")
+    done = [n for n in files.names("") if "_SUCCESS" in files.names(n)]
+    if not done:
+        return None
+    row = spark.read.json(f"{state.folder}/status/{done[-1]}").first().asDict(recursive=True)
+    return state.table.read(spark, row["version"]), VersionedTable(f"{state.folder}/trials", ("trial",), state.buckets).read(spark, row["version"]), row
+
+
 def complete_trials(results: DataFrame, planned: int) -> DataFrame:
     """Rows for every planned trial, with NULLs where none has come; trials beyond the plan are left out."""
     spine = results.sparkSession.range(1, planned + 1).select(F.col("id").alias("trial"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import traces as T
 from ..plans.trace_queries import HOLO_MEAN_CI_SQL, PRE_POINTS, SKIPPED, WINDOW, r6
 from ..sources import bindings as B
-from ..sources.scratch import scratch_dir
-from . import live
+from ..sources.scratch import materialize, scratch_dir
+from . import keyed, live
+from .versioned import VersionedTable
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,16 +37,43 @@ def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.mean_interval(state.results(spark), ["cond", "k"]).select("cond", "k", "n_cols", "n", *r6("mean", "sd", "lo", "hi", "ci_lo", "ci_hi"))
 
 
+def live_keyed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As live_run, by keyed state: trials and metadata are two streams that meet in it. It fails if a trial was set aside."""
+    folder = scratch_dir(spark, "keyed")
+    arrivals = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial"), F.lit(0).alias("sent"), (F.col("label") + 1).cast("long").alias("cond"), F.slice("embedding", 17, WINDOW).alias("x"))
+    met = keyed.meet(arrivals, _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial")))
+    results, failed = VersionedTable(f"{folder}/results", ("trial",)), VersionedTable(f"{folder}/failed", ("trial",))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        batch = materialize(batch, "met")
+        points = batch.where("reason is null").select("trial", "cond", F.posexplode("x").alias("p", "x"))
+        points = points.select("trial", "cond", (F.col("p") + 1).cast("long").alias("k"), F.when(F.col("trial") % SKIPPED != 0, F.col("x").cast("double") + 1.0).alias("v"))
+        results.merge(T.relative_change(points, ["trial"], PRE_POINTS), batch_id)
+        failed.merge(batch.where("reason is not null").select("trial", "reason"), batch_id)
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, keyed.ROCKS)
+    try:
+        met.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    if n := failed.read(spark).count():
+        raise RuntimeError(f"{n} trials were set aside")
+    return T.mean_interval(results.read(spark), ["cond", "k"]).select("cond", "k", "n_cols", "n", *r6("mean", "sd", "lo", "hi", "ci_lo", "ci_hi"))
+
+
 def live_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running statistics of sweeps by trial and condition, as the stream has them at its end."""
+    """Running statistics of sweeps by trial and condition, as the stream has them at its end: a trigger writes the groups that it has changed."""
     folder = scratch_dir(spark, "groups")
     stats = _stream(spark, sf_dir, "events").groupBy(F.col("user_id").alias("trial"), F.col("event_type").alias("cond")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    query = stats.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{folder}/stats")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    table = VersionedTable(f"{folder}/stats", ("trial", "cond"))
+    query = stats.writeStream.outputMode("update").foreachBatch(table.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/stats").select("trial", "cond", "n", *r6("mean"), F.round("sd", 4).alias("sd"))
+    return table.read(spark).select("trial", "cond", "n", *r6("mean"), F.round("sd", 4).alias("sd"))
 
 
 GROUP_STATS_SQL = "SELECT user_id AS trial, event_type AS cond, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) END, 4) AS sd FROM events GROUP BY 1, 2"
 
-QUERIES = {"live_run": live_run, "live_group_stats": live_group_stats}
-ORACLE_SQL = {"live_run": HOLO_MEAN_CI_SQL, "live_group_stats": GROUP_STATS_SQL}
+QUERIES = {"live_run": live_run, "live_keyed_run": live_keyed_run, "live_group_stats": live_group_stats}
+ORACLE_SQL = {"live_run": HOLO_MEAN_CI_SQL, "live_keyed_run": HOLO_MEAN_CI_SQL, "live_group_stats": GROUP_STATS_SQL}
