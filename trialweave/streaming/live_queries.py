@@ -51,13 +51,16 @@ def live_keyed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         results.merge(T.relative_change(points, ["trial"], PRE_POINTS), batch_id)
         failed.merge(batch.where("reason is not null").select("trial", "reason"), batch_id)
 
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, keyed.ROCKS)
+    # a run that ends with what is there needs no batches for timers, which would never end
+    settings = {"spark.sql.streaming.stateStore.providerClass": keyed.ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         met.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(store, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     if n := failed.read(spark).count():
         raise RuntimeError(f"{n} trials were set aside")
     return T.mean_interval(results.read(spark), ["cond", "k"]).select("cond", "k", "n_cols", "n", *r6("mean", "sd", "lo", "hi", "ci_lo", "ci_hi"))
