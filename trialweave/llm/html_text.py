@@ -1,10 +1,11 @@
 """Main text of HTML pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides a block where it can: elements that are no article text by what they are
-(menus, headers, footers, forms, scripts, ...) or by a plain name (adverts, notices, comments) are boilerplate; of all others the share of link
-characters, the share of stop words and the length decide, with thresholds that are easier inside what the markup names an article, and
-harder outside it and where a name raises doubts. Short blocks without such evidence stay open; the second pass gives them the label of the
-nearest decided blocks around them.
+A page is cut into blocks at block-level tags. Menus, footers, hidden parts and scripts are no text by what they are. Boxes of other kinds (forms, asides,
+headers) or of a plain name (adverts, notices, comments) are left out beside an article, but none of them may empty a page: the largest of those side by
+side, if it holds the text that density finds, with next to none around it, is a box like any other, and so is one around a <main>. The first pass decides a block where it
+can, by its share of link characters, its share of stop words and its length, with thresholds that are easier inside what the markup names an article, and
+harder outside it and where a name raises doubts. Where a page has none of the listed stop words, links and length decide alone. Short blocks
+without evidence stay open; the second pass gives them the label of the nearest decided blocks around them.
 
 Pages are read in one pass whose time grows with their length, whatever is unclosed or nested.
 """
@@ -25,14 +26,21 @@ from .common import map_rows
 LINKS, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.4, 0.12, 0.25, 60, 180
 #: The share of link characters that a block of a named article may have.
 LINKS_INSIDE = 0.6
-#: Stop words of some languages.
-STOP_WORDS = frozenset(
-    "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were what when which who will with you "
-    "aber als am auch auf aus bei das dass dem den der des die ein eine einem einen einer er es für hat ich im in ist mit nicht oder sich sie sind und uns von vor war wie wir zu zum zur "
-    "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sur un une vous "
-    "al como con de del el ella en era es esta este ha la las lo los más me no o para pero por que se sin sobre su sus también un una y ya "
-    "che da dei della di e gli il non per sono um uma não os do dos na nas em het een van niet zijn".split()
-)
+#: Share of stop words in a page's longer blocks below which its language is none of the listed ones, and how many of one language's there must be.
+UNLISTED, LISTED_WORDS = 0.04, 4
+#: How many times the text around a box it must hold so that it isn't left out.
+MOSTLY = 4
+#: Stop words of some languages, a line a language.
+STOP_LISTS = tuple(frozenset(words.split()) for words in (
+    "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were what when which who will with you",
+    "aber als am auch auf aus bei das dass dem den der des die ein eine einem einen einer er es für hat ich im in ist mit nicht oder sich sie sind und uns von vor war wie wir zu zum zur",
+    "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sur un une vous",
+    "al como con de del el ella en era es esta este ha la las lo los más me no o para pero por que se sin sobre su sus también un una y ya",
+    "che da dei della di e gli i il la le non per si sono un una",
+    "a as de do dos e em na nas não no o os por que se um uma",
+    "aan dat de een en het in is met niet op te van voor zijn",
+))
+STOP_WORDS = frozenset().union(*STOP_LISTS)
 #: HTML elements that start and end blocks, that have no content of their own, whose content is characters only, whose content
 #: is left out without ending a block, those of their kind that end one another, and those whose content is never article text.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -40,8 +48,10 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 CHARACTERS = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SKIPPED = frozenset("noscript template object svg math canvas video audio select button".split())
 SERIES = frozenset("li dt dd tr td th option".split())
-NEVER = frozenset("nav header footer aside form menu dialog search fieldset option optgroup label legend".split())
+NEVER = frozenset("nav footer option optgroup label legend".split())
+SELDOM = frozenset("header aside form menu dialog search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
+REMARKS = frozenset("comment comments disqus replies reply respond".split())
 #: Names of parts that are no article text, names that only raise doubts, and those that say what kind of box it is. A class or id is
 #: such a name if its words are, but for leading words of place.
 PLAIN = frozenset(
@@ -61,8 +71,9 @@ _ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(\s*=\s*)?)?")
 _UNQUOTED = re.compile(r"[^\s>]*")
 _END_TAG, _LINK_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)"), re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _OF_USE = frozenset("class id role hidden aria-hidden style itemprop href name".split())
-#: What an element makes of its content; EXCLUDED parts are never text.
-TEXT, OPEN, BOILERPLATE, EXCLUDED = 1, 0, -1, -2
+_DENSE = re.compile("[\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\uff00-\uffef]")
+#: What an element makes of its content; EXCLUDED parts are never text, LEFT_OUT ones only if the page has text without them. ASIDE is a doubtful part of an article.
+ASIDE, TEXT, OPEN, BOILERPLATE, EXCLUDED, LEFT_OUT, REMARK = 2, 1, 0, -1, -2, -3, -4
 
 
 @functools.lru_cache(4096)
@@ -79,7 +90,7 @@ def _named(value: str) -> int:
         words.pop(0)
     if not words or not all(w in PLAIN or w in DOUBTFUL or w in BOXES for w in words[1:]):
         return OPEN
-    return EXCLUDED if words[0] in PLAIN else BOILERPLATE if words[0] in DOUBTFUL else OPEN
+    return REMARK if words[0] in REMARKS else LEFT_OUT if words[0] in PLAIN else BOILERPLATE if words[0] in DOUBTFUL else OPEN
 
 
 def _standing(tag: str, attributes: dict[str, str]) -> int:
@@ -87,11 +98,11 @@ def _standing(tag: str, attributes: dict[str, str]) -> int:
     if tag in NEVER:
         return EXCLUDED
     found = TEXT if tag in ("article", "main") else OPEN
-    doubt = False
+    doubt, left_out = False, LEFT_OUT if tag in SELDOM else OPEN
     for name, value in attributes.items():
         if name == "role":
             if value.lower() in ROLES:
-                return EXCLUDED
+                left_out = LEFT_OUT
             if value.lower() in ("main", "article"):
                 found = TEXT
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
@@ -99,27 +110,72 @@ def _standing(tag: str, attributes: dict[str, str]) -> int:
         elif name in ("class", "id") and tag not in ("article", "main", "body", "html"):
             for x in value.split():
                 said = _named(x)
-                if said == EXCLUDED:
-                    return EXCLUDED
-                doubt |= said == BOILERPLATE
-                found = max(found, said)
+                if said in (LEFT_OUT, REMARK):
+                    left_out = min(left_out, said)
+                else:
+                    doubt |= said == BOILERPLATE
+                    found = max(found, said)
         elif name == "itemprop" and value.lower() == "articlebody":
             found = TEXT
-    return BOILERPLATE if doubt and found == OPEN else found
+    return left_out or (BOILERPLATE if doubt and found == OPEN else found)
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int]]:
-    """(text, standing, link characters) of the blocks in order; white space inside is one space, references are decoded.
+    """(text, standing, link characters) of the blocks in order, where boxes that are left out are told from those that hold the page's text."""
+    found, boxes = _parsed(page)
+    outer = [b[0] for b in boxes]
+    here = [0] * (len(boxes) + 1)  # characters that density finds directly in a box, or in none (the last)
+    named = [False] * (len(boxes) + 1)  # whether an article is
+    if boxes:
+        for text, standing, links, box in found:
+            if standing == EXCLUDED:
+                continue
+            if standing in (TEXT, ASIDE):
+                named[box] = True
+                here[box] += len(text)
+            elif links <= LINKS * len(text) and ((size := _size(text)) >= LONG or size >= SHORT and _stop_share(text) >= STOP_HIGH):
+                here[box] += len(text)
+    inside = here[:]
+    for k in range(len(boxes) - 1, -1, -1):  # a box comes after the one around it
+        if outer[k] >= 0:
+            inside[outer[k]] += inside[k]
+    largest: dict[int, int] = {}  # of the boxes side by side in one box, the one with most text
+    for k, up in enumerate(outer):
+        if inside[k] > inside[largest.setdefault(up, k)]:
+            largest[up] = k
+    kept, around, article = [True] * (len(boxes) + 1), [here[-1]] * (len(boxes) + 1), [named[-1]] * (len(boxes) + 1)
+    for k, (up, kind) in enumerate(boxes):
+        if up >= 0:
+            around[k], article[k] = around[up] + here[up], article[up] or named[up]
+        beside = around[k] > 0 if kind == REMARK else around[k] * MOSTLY >= inside[k]
+        kept[k] = (up < 0 or kept[up]) and largest[up] == k and inside[k] > 0 and not article[k] and not beside
+    return [(text, standing if kept[box] else EXCLUDED, links) for text, standing, links, box in found]
+
+
+def _size(text: str) -> int:
+    """Length, in letters of an alphabet: a sign that stands for a syllable or a word counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _stop_share(text: str) -> float:
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _parsed(page: str | None) -> tuple[list[tuple[str, int, int, int]], list[tuple[int, int]]]:
+    """(text, standing, link characters, innermost box that may be left out or -1) of the blocks in order; white space inside is one space, references
+    are decoded. Then these boxes: (the next one around it or -1, kind).
 
     A tag ends at the first > outside quoted values; a quote that isn't closed counts as a character. Comments, scripts and the like that aren't
     closed take the rest of the page; an element that excludes its content and isn't closed excludes nothing, but for footers. A paragraph ends
     at the next block, an item of a series at the next one, an element at the end of one around it.
     """
     page = page or ""
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int, int]] = []
+    boxes: list[tuple[int, int]] = []
+    stack: list[tuple[str, int, int]] = []
     opened: Counter = Counter()
-    standing = OPEN
+    standing, box = OPEN, -1
     parts: list[str] = []
     links, linked, at, size = 0, False, 0, len(page)
     last = {m[1].lower(): m.start() for m in _END_TAG.finditer(page)}
@@ -129,7 +185,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int]]:
         nonlocal links
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append((text, standing, min(links, len(text))))
+                out.append((text, standing, min(links, len(text)), box))
             parts.clear()
         links = 0
 
@@ -142,11 +198,11 @@ def blocks(page: str | None) -> list[tuple[str, int, int]]:
             links += len(text.strip())
 
     def pop():
-        nonlocal standing
+        nonlocal standing, box
         opened[stack.pop()[0]] -= 1
-        if standing != (outer := stack[-1][1] if stack else OPEN):
+        if (standing, box) != (outer := stack[-1][1:] if stack else (OPEN, -1)):
             flush()
-            standing = outer
+            standing, box = outer
 
     def after(text: str, start: int) -> int:
         return size if (k := page.find(text, start)) < 0 else k + len(text)
@@ -227,24 +283,36 @@ def blocks(page: str | None) -> list[tuple[str, int, int]]:
         if tag in BLOCK and stack and (stack[-1][0] == "p" or tag in SERIES and stack[-1][0] == tag):
             pop()
         own = _standing(tag, attributes)
-        if own == EXCLUDED and tag != "footer" and last.get(tag, -1) < at and tag not in SERIES and tag != "p":
+        if own <= EXCLUDED and tag != "footer" and last.get(tag, -1) < at and tag not in SERIES and tag != "p":
             own = BOILERPLATE
-        if tag in BLOCK or own == EXCLUDED:
-            # nothing below an excluded element is text, and what raises doubts stays doubtful
-            new = EXCLUDED if EXCLUDED in (standing, own) else BOILERPLATE if BOILERPLATE in (standing, own) else own or standing
-            if new != standing:
+        if tag in BLOCK or own <= EXCLUDED:
+            # nothing below an excluded element is text, and what raises doubts stays doubtful, but for a page's main part
+            main = own == TEXT and (tag == "main" or attributes.get("role", "").lower() == "main")
+            new, inner = standing, box
+            if EXCLUDED in (standing, own):
+                new = EXCLUDED
+            elif own < EXCLUDED:
+                inner = len(boxes)
+                boxes.append((box, own))
+            elif main:
+                new, inner = TEXT, -1
+            elif own == BOILERPLATE:
+                new = ASIDE if standing in (TEXT, ASIDE) else BOILERPLATE
+            elif standing not in (BOILERPLATE, ASIDE):
+                new = own or standing
+            if (new, inner) != (standing, box):
                 flush()
-                standing = new
-            stack.append((tag, standing))
+                standing, box = new, inner
+            stack.append((tag, standing, box))
             opened[tag] += 1
     flush()
-    return out
+    return out, boxes
 
 
 def _first(size: int, links: int, stop: float, prior: int, usual: float) -> bool | None:
     """The first pass for a block; `prior` says what the markup makes of it and moves the thresholds, `usual` is the article's share of stop words."""
-    if prior == TEXT:  # few stop words speak against it only where the article has them, and with links
-        if links > LINKS_INSIDE * size:
+    if prior in (TEXT, ASIDE):  # few stop words speak against it only where the article has them, and with links
+        if links > (LINKS_INSIDE if prior == TEXT else LINKS / 2) * size:
             return False
         if size < SHORT:
             return None
@@ -261,19 +329,27 @@ def _first(size: int, links: int, stop: float, prior: int, usual: float) -> bool
 def first_pass(page: list[tuple[str, int, int]]) -> tuple[list[bool | None], bool]:
     """Labels of the blocks that the rules decide, None for the open ones, and whether text is looked for outside named articles too.
 
-    What stands outside a named article has the thresholds of a page without one if it holds more text than the article does.
+    What stands outside a named article has the thresholds of a page without one if it holds at least half as much text as the article does.
     """
-    counted = []
-    for text, standing, _ in page:
+    counted, seen = [], set()
+    sizes = [_size(text) for text, _, _ in page]
+    for (text, standing, _), size in zip(page, sizes):
         words = _WORDS.findall(text.lower()) if standing != EXCLUDED else []
-        counted.append((sum(w in STOP_WORDS for w in words), len(words)))
-    shares = [stop / max(1, n) for stop, n in counted]
-    inside = [k for k, (_, standing, _) in enumerate(page) if standing == TEXT]
+        stop = [w for w in words if w in STOP_WORDS]
+        if size >= SHORT:
+            seen.update(stop)
+        counted.append((len(stop), len(words)))
+    telling = [c for c, size in zip(counted, sizes) if c[1] and size >= SHORT]
+    few = max(len(seen & own) for own in STOP_LISTS) < LISTED_WORDS
+    unlisted = bool(telling) and (few or sum(stop for stop, _ in telling) < UNLISTED * sum(n for _, n in telling))
+    # without listed stop words, length alone stands for their share
+    shares = [(STOP_HIGH if size >= LONG else STOP_LOW) if unlisted else stop / max(1, n) for (stop, n), size in zip(counted, sizes)]
+    inside = [k for k, (_, standing, _) in enumerate(page) if standing in (TEXT, ASIDE)]
     usual = sum(counted[k][0] for k in inside) / max(1, sum(counted[k][1] for k in inside))
-    outer = sum(len(text) for (text, standing, links), stop in zip(page, shares) if standing == OPEN and _first(len(text), links, stop, OPEN, 0.0))
-    everywhere = not inside or outer > sum(len(page[k][0]) for k in inside)
+    outer = sum(len(text) for (text, standing, links), stop, size in zip(page, shares, sizes) if standing == OPEN and _first(size, links, stop, OPEN, 0.0))
+    everywhere = not inside or 2 * outer >= sum(len(page[k][0]) for k in inside)
     prior = lambda standing: standing or (OPEN if everywhere else BOILERPLATE)
-    return [False if standing == EXCLUDED else _first(len(text), links, stop, prior(standing), usual) for (text, standing, links), stop in zip(page, shares)], everywhere
+    return [False if standing == EXCLUDED else _first(size, links, stop, prior(standing), usual) for (_, standing, links), stop, size in zip(page, shares, sizes)], everywhere
 
 
 def decide(page: list[tuple[str, int, int]]) -> list[bool]:
@@ -282,7 +358,7 @@ def decide(page: list[tuple[str, int, int]]) -> list[bool]:
     out = list(labels)
     # the second pass; parts that markup excludes inside an article (adverts, forms) say nothing of the article's blocks
     for own in (True, False):
-        decided = [k for k, x in enumerate(labels) if x is not None and not (own and page[k][1] != TEXT)]
+        decided = [k for k, x in enumerate(labels) if x is not None and not (own and page[k][1] not in (TEXT, ASIDE))]
         before = None
         after = iter(decided)
         nxt = next(after, None)
@@ -290,9 +366,9 @@ def decide(page: list[tuple[str, int, int]]) -> list[bool]:
             while nxt is not None and nxt < k:
                 before = nxt
                 nxt = next(after, None)
-            if x is not None or own != (page[k][1] == TEXT):
+            if x is not None or own != (page[k][1] in (TEXT, ASIDE)):
                 continue
-            easy = own or everywhere and page[k][1] == OPEN
+            easy = page[k][1] == TEXT or everywhere and page[k][1] == OPEN
             if before is None or nxt is None:
                 near = before if nxt is None else nxt
                 # a page of short blocks alone is text; outside an article a block must have text on both sides
