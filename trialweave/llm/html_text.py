@@ -130,11 +130,12 @@ def blocks(page: str | None) -> list[tuple[str, int, int]]:
         for text, standing, links, box in found:
             if standing == EXCLUDED:
                 continue
+            size = _size(text)
             if standing in (TEXT, ASIDE):
                 named[box] = True
-                here[box] += len(text)
-            elif links <= LINKS * len(text) and ((size := _size(text)) >= LONG or size >= SHORT and _stop_share(text) >= STOP_HIGH):
-                here[box] += len(text)
+                here[box] += size
+            elif links <= LINKS * len(text) and (size >= LONG or size >= SHORT and _stop_share(text) >= STOP_HIGH):
+                here[box] += size
     inside = here[:]
     for k in range(len(boxes) - 1, -1, -1):  # a box comes after the one around it
         if outer[k] >= 0:
