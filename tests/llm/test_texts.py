@@ -372,6 +372,24 @@ def test_planted_candidates_are_selected(spark):
     assert pii.select(found, without).where("size(spans) > size(base)").count() == 0
 
 
+def test_secrets_are_learnt_by_their_names(spark):
+    """Keys that a name announces are found, also where none does; long words, numbers and paths stay."""
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    filler = lambda: " ".join(rng.choice("lo ra mi tu sen dor vak pel".split()) for _ in range(20))
+    plain = ["donaudampfschifffahrtsgesellschaft", "/usr/share/2024/some/long/path/of/files", "12345678901234567890123", "4111 1111 1111 1111", "a@b.co"]
+    texts, planted = [], []
+    for k in range(400):
+        head = f"{filler()} " + (rng.choice(['token = "', "API_KEY: ", "secret="]) if k % 20 else 'x = "')
+        value = key()
+        texts.append(f'{head}{value}" {filler()} {plain[0]} {plain[2]} {plain[3]} {plain[4]} {filler()}' + (f" {plain[1]}" if k % 3 == 0 else ""))
+        planted.append((pii.KINDS.index("secret"), len(head), len(head) + len(value)))
+    found = common.materialize(pii.matches(spark.createDataFrame(list(enumerate(texts)), SCHEMA)), "matches")
+    added = {r.doc_id: [(s.kind, s.begin, s.end) for s in r.spans if s.score < 1] for r in pii.select(found, pii.fit(found)).select("doc_id", "spans").collect()}
+    hits = sum(planted[k] in got for k, got in added.items())
+    assert hits / len(texts) > 0.95 and hits / sum(map(len, added.values())) > 0.95
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.co, 1.2.3.4!"), (2, None)], SCHEMA)
     got = {r.doc_id: r.text for r in pii.redact(pii.find(docs, None)).collect()}

@@ -126,7 +126,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = materialize(pii.matches(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found"), "matches")
     found = pii.select(matches, pii.fit(matches))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
