@@ -11,7 +11,8 @@ proportion to its size.
 Pages of one template share bands, though most of them aren't alike. Buckets with more than CROWD members are therefore thinned first by rare shingles,
 those of at most RARE of the nodes in such buckets: two nodes that share one are proposed for that, and counting what they share prunes them; of two
 that share none, both have all their rare shingles to themselves, so a node whose rare shingles are more than a fifth of its set can't be linked with
-any of them and leaves the bucket, and others are compared only if the rest would suffice. Both steps lose no link.
+any of them and leaves the bucket. Others are compared only if the rest would suffice: rare shingles add up to no more than a quarter of what the two may
+share, so members are dealt to levels by their share of rare shingles, and only levels that together stay within that bound meet. No step loses a link.
 
 A pair at a similarity of 0.8 shares none of the 32 bands with a probability of 5e-8.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import shingles as S
 from .common import map_rows, materialize, sized_ids
 
+#: Levels of the share of rare shingles.
+LEVELS = 32
 #: Members from which on a bucket is thinned by rare shingles, and in how many nodes of such buckets these are at most.
 CROWD, RARE = 64, 8
 SKETCH = "n_shingles long, set_key binary, permuted array<long>, bucketed array<long>"
@@ -163,10 +166,18 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, crowd: int = CROW
         open_ = open_.join(own, "node", "left").withColumn("r", F.when(F.col("crowded"), F.coalesce("r", F.lit(0))).otherwise(0)).where(100 * F.col("r") <= (100 - percent) * F.col("n"))
         still = open_.groupBy("slot", "key").agg(F.count_distinct("comp").alias("comps")).where("comps > 1").select("slot", "key")
         open_ = materialize(open_.join(still, ["slot", "key"]), "thinned")
+    if percent < 100:
+        level = F.floor(F.col("r") * (LEVELS * percent) / (F.greatest(F.col("n") - F.col("r"), F.lit(1)) * (100 - percent))).cast("int")
+    else:
+        level = F.when(F.col("r") > 0, LEVELS + 1).otherwise(0)
+    open_ = open_.withColumn("level", F.when(F.col("crowded"), level).otherwise(-1))
+    present = open_.groupBy("slot", "key").agg(F.collect_set("level").alias("present"))  # at most LEVELS + 2 numbers
     open_ = open_.join(nodes.select("node", "permuted", "bucketed"), "node").withColumn("bands", F.when(F.col("slot") < S.BANDS, F.col("permuted")).otherwise(F.col("bucketed"))).drop("permuted", "bucketed", "crowded")
     # halves of a set may be equal; what is lost of the shared ones by that is no more than what each of the two sets loses
     halves = sets.select("node", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")).alias("half")).withColumn("lost", F.size("half") - F.size(F.array_distinct("half")))
-    x, y = open_.where("comp <> main").join(halves, "node").alias("x"), open_.join(halves, "node").alias("y")
+    meets = F.filter("present", lambda other: (other < 0) | (other + F.col("level") <= LEVELS))
+    x = open_.where("comp <> main").join(present, ["slot", "key"]).withColumn("met", F.explode(meets)).drop("present").join(halves, "node").alias("x")
+    y = open_.join(halves, "node").alias("y")
     c = lambda name: F.col(name)
     first = F.array_position(F.zip_with(c("x.bands"), c("y.bands"), lambda a, b: a == b), F.lit(True)) == F.pmod(c("x.slot"), F.lit(S.BANDS)) + 1
     least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / S.REGISTERS)
@@ -177,7 +188,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, crowd: int = CROW
     common = F.size(F.array_intersect(c("x.half"), c("y.half"))) + F.least(c("x.lost"), c("y.lost"))
     alike = 100 * common >= percent * (c("x.n") + c("y.n") - common)
     near = F.when(other & sized & rest_suffices, F.when(first, F.when(estimated(c("x.bands"), c("y.bands"), c("x.n"), c("y.n")) >= least, alike))).otherwise(False)
-    pairs = x.join(y, (c("x.slot") == c("y.slot")) & (c("x.key") == c("y.key")) & near)
+    pairs = x.join(y, (c("x.slot") == c("y.slot")) & (c("x.key") == c("y.key")) & (c("x.met") == c("y.level")) & near)
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
     pairs = (pairs if proposed is None else pairs.unionByName(proposed)).distinct().join(best, ["a", "b"], "left_anti")
 
