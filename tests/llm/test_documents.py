@@ -57,7 +57,9 @@ def test_decontamination(spark, block):
             inside = words_of(texts[k - 1][s.begin : s.end])
             assert inside and texts[k - 1][s.begin : s.end].strip(" ,!.") == texts[k - 1][s.begin : s.end]
         assert sum(len(words_of(texts[k - 1][s.begin : s.end])) for s in got[k].spans) == hit
-    kept = decontaminate.decontaminate(docs(spark, texts), bench, size)
+    kept = decontaminate.decontaminate(docs(spark, texts), bench, size, block)
+    workers = kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert workers <= 1  # whatever the number of blocks
     assert kept.columns == docs(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == [k for k, w in enumerate(want, 1) if not w[1]]
     none = decontaminate.scan(docs(spark, texts), bench.limit(0), size)
     assert none.agg(F.sum("n_hit")).first()[0] == 0
@@ -166,6 +168,15 @@ def test_near_dedup_of_a_template(spark, own):
         assert {r.doc_id: tuple(r)[1:] for r in near_dedup.classes(docs(spark, texts), 2, crowd=crowd).collect()} == want
 
 
+def test_pages_below_a_link_are_not_paired(spark):
+    """Pages of 74 shared and 10 own words, at a similarity of 0.77: levels of rare shingles keep them from meeting, though the template itself is among them."""
+    rng = random.Random(3)
+    shared = [f"s{k}" for k in range(74)]
+    texts = [" ".join([*shared, *(f"w{rng.randrange(10**9)}" for _ in range(10))]) for _ in range(400)] + [" ".join(shared)] * 2
+    texts += [texts[7] + " more", texts[9].replace("s40", "other")]
+    assert {r.doc_id: tuple(r)[1:] for r in near_dedup.classes(docs(spark, texts), 2).collect()} == components(texts, 2)
+
+
 def test_rare_shingles_lose_no_link(spark):
     rng = random.Random(9)
     base = [rng.sample(range(300), 40) for _ in range(6)]

@@ -12,6 +12,7 @@ are then joined by row.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -57,9 +58,7 @@ def _blocks(windows: DataFrame, block_bytes: int):
         yield [(r.window, r.items) for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).toLocalIterator()]
 
 
-def _scanner(spark, block, size):
-    sent = spark.sparkContext.broadcast(block)
-
+def _scanner(sent, size):
     def make():
         automaton = ahocorasick.Automaton()
         automaton.add_word("\0", None)  # in no normalised text; an automaton without words can't search
@@ -111,14 +110,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     blocks = _blocks(item_windows(benchmark, size), block_bytes)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        out = map_rows(docs.select("doc_id", "text"), _scanner(spark, first, size), SPANS.replace("row long", f"doc_id {dict(docs.dtypes)['doc_id']}"))
+        out = map_rows(docs.select("doc_id", "text"), _scanner(spark.sparkContext.broadcast(first), size), SPANS.replace("row long", f"doc_id {dict(docs.dtypes)['doc_id']}"))
         return _summed(out)
     numbered = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
-    hits, todo = None, [first, second]
-    while todo:
-        part = map_rows(numbered.select("row", "text"), _scanner(spark, todo.pop(0), size), SPANS)
+    # one block after the other: what it finds is written, and then neither the driver nor a task holds it any more
+    hits = None
+    for block in chain([first, second], blocks):
+        sent = spark.sparkContext.broadcast(block)
+        part = materialize(map_rows(numbered.select("row", "text"), _scanner(sent, size), SPANS), "hits")
+        sent.unpersist()
         hits = part if hits is None else hits.unionByName(part)
-        todo = todo or [b for b in [next(blocks, None)] if b is not None]
     merged = hits.groupBy("row").agg(
         F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to", "spans")))).alias("runs"))
@@ -138,13 +139,16 @@ def _summed(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` without the rows that have a hit; all its columns stay.
 
-    One scan a block filters in place, so neither a join nor an id is needed.
+    One scan a block filters in place, so neither a join nor an id is needed. With more than one block the rows that are left are written
+    between scans, so that a task has one worker and one automaton at a time.
     """
     small_batches(docs.sparkSession)
-    for block in _blocks(item_windows(benchmark, size), BLOCK_BYTES):
+    blocks = _blocks(item_windows(benchmark, size), block_bytes)
+    block = next(blocks, None)
+    while block is not None:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
@@ -159,4 +163,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
                 yield batch.filter(pa.array([next(automaton.iter(x), None) is None for x in lines], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        block = next(blocks, None)
+        if block is not None:
+            docs = materialize(docs, "scanned")
+            sent.unpersist()
     return docs
