@@ -65,3 +65,9 @@ def test_filters(spark):
     twice = lfilter(b, a, once, [s * once[0] for s in zi])[::-1]
     assert got[1].z == pytest.approx(twice[pad : pad + len(x)])
     assert got[2].y == pytest.approx(lfilter(b, a, x[:20]))
+
+
+def test_counts_of_a_range_as_columns(spark):
+    values = [0.0, -1.5, 0.9999999999999999, 1.0, 2.0000000000000004, 2.9999999999999996, 15.5, 16.0, 1e9 + 0.4999999, 123456.99999999999]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(N.colon_counts(F.col("x"))).collect()
+    assert [r[0] for r in got] == [N.colon_count(v) for v in values]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trialweave.operators import raster
 from trialweave.operators.regions import Quality
 from trialweave.plans import session as S
 from trialweave.sources import records
@@ -100,3 +101,35 @@ def test_run_and_its_snapshot(spark, tmp_path):
     assert [r["mean"] for r in nested["filtered_means"].collect()] == [[want[k] for k in sorted(want)]]
     with pytest.raises(ValueError, match="differ in cells"):
         S.check_cells(rough, rings.withColumn("cell", F.lit(2).cast("long")))
+
+
+def test_errors_say_why_nothing_is_left(spark):
+    pixels = spark.createDataFrame([(1, 1, 0, 0, 1.0)], "trial long, frame long, r long, c long, v double")
+    rough = spark.createDataFrame([(1, 0, 0)], "cell long, r long, c long")
+    stimuli = spark.createDataFrame([(1, 1, 1, 0.0, True)], "trial long, cond long, holo long, onset double, excluded boolean")
+    s = S.Session(freq=100.0, ipi=10.0, n_pulses=1.0, pre=30.0, post=-30.0)
+    with pytest.raises(ValueError, match="no trial is left"):
+        S.run(pixels, rough, stimuli, s, 4, 4)
+    grid = [(r, c) for r in range(8) for c in range(8)]
+    image = spark.createDataFrame([(r, c, float(r + c)) for r, c in grid], "r long, c long, v double")
+    labels = spark.createDataFrame([(r, c, 1 if r < 2 and c < 2 else 0) for r, c in grid], "r long, c long, label long")
+    with pytest.raises(ValueError, match="(?s)all labels were rejected.*label 1: area 4 < minAreaPx 9"):
+        S.bootstrap_regions(image, labels, Quality(min_area=9), 8, 8)
+    with pytest.raises(ValueError, match="no label was found"):
+        S.bootstrap_regions(image, labels.withColumn("label", F.lit(0).cast("long")), Quality(), 8, 8)
+    with pytest.raises(Exception, match="no finite pixel"):
+        S.bootstrap_regions(image.withColumn("v", F.lit(float("nan"))), labels, Quality(min_area=1), 8, 8)
+    clean = raster.sanitised(spark.createDataFrame([(0, 0, 0, 2.0), (0, 0, 1, float("inf")), (0, 0, 2, None), (0, 0, 3, float("nan"))], "img long, r long, c long, v double"))
+    assert [r.v for r in clean.orderBy("c").collect()] == [2.0] * 4
+
+
+def test_condition_sorted_inputs_keep_all_trials(spark):
+    sweeps = spark.createDataFrame([(t, k, float(t * k)) for t in (1, 2, 3, 4) for k in range(1, 41)], "trial long, frame long, v double")
+    trials = spark.createDataFrame([(4, 1, False), (2, 1, True), (1, 2, False), (3, 1, False)], "trial long, cond long, excluded boolean")
+    onsets = trials.select("trial", F.lit(1).cast("long").alias("holo"), F.lit(0.04).alias("onset"))
+    got = S.condition_sweeps(sweeps, trials, onsets, 500.0, 120.0, 5.0, 1.0, 20.0, 60.0)
+    places = {(r.cond, r.place): r.trial for r in got["inputs"].select("cond", "place", "trial").distinct().collect()}
+    assert places == {(1, 1): 2, (1, 2): 3, (1, 3): 4, (2, 1): 1} and got["inputs"].count() == 160
+    windows = got["windows"].collect()
+    lengths = {(r.trial, r.holo) for r in windows if r.flat is None}
+    assert lengths == {(2, 1)} and {sum(r.trial == t for r in windows) for t in (1, 2, 3, 4)} == {40 - 10 + 1}

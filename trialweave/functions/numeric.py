@@ -22,6 +22,14 @@ def colon_count(x: float) -> int:
     return max(0, near if abs(x - near) <= 4 * math.ulp(max(abs(x), 1.0)) else math.floor(x))
 
 
+def colon_counts(x: Column) -> Column:
+    """As colon_count(), of a column."""
+    near = F.floor(x + 0.5)
+    size = F.greatest(F.abs(x), F.lit(1.0))
+    ulp = F.pow(F.lit(2.0), F.floor(F.log2(size)) - 52)
+    return F.greatest(F.lit(0).cast("long"), F.when(F.abs(x - near) <= 4 * ulp, near).otherwise(F.floor(x)).cast("long"))
+
+
 def half_away(x: Column) -> Column:
     """Rounded to an integer, halves away from zero."""
     return F.round(x)

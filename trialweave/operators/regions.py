@@ -125,7 +125,7 @@ def boxes(rough: DataFrame, pad: int) -> DataFrame:
 
 
 def _in_all_trials(regions: DataFrame, images: DataFrame, found: DataFrame) -> DataFrame:
-    """(cell, trial, r, c) of regions (cell, r, c) for the trials of which a cell isn't in `found`."""
+    """(cell, trial, r, c) of regions (cell, r, c) for the trials of which a cell isn't in `found`. The pairs of cells and trials are as many as the result has."""
     pairs = regions.select("cell").distinct().crossJoin(images.select("trial").distinct())
     return pairs.join(found.select("cell", "trial").distinct(), ["cell", "trial"], "left_anti").join(regions.select("cell", "r", "c").distinct(), "cell").select("cell", "trial", "r", "c")
 
