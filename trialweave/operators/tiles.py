@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import EPS
 from ..sources.scratch import materialize
 from . import graphs, raster, selection
 
@@ -38,10 +40,63 @@ def tiled(pixels: DataFrame, work: Callable[[DataFrame], DataFrame], margin: int
     return inner(done, side).drop("tile")
 
 
-def ridge(pixels: DataFrame, sensitivity: float = 2.0, thickness: Sequence[int] = (4, 6, 8, 10, 12, 14), bright: bool = True, value: str = "v", side: int = SIDE) -> DataFrame:
-    """As raster.ridge(), by tiles: the blurs reach three sigmas, the derivatives two pixels further."""
+def _line(a: np.ndarray, weights: Sequence[float], axis: int, edge: str) -> np.ndarray:
+    """Weighted sums along an axis, as raster.stencil() has them."""
+    half = len(weights) // 2
+    ends = [(0, 0), (0, 0)]
+    ends[axis] = (half, half)
+    padded = np.pad(a, ends, mode="edge" if edge == "replicate" else "symmetric")
+    size = a.shape[axis]
+    total = np.zeros_like(a)
+    for k, w in enumerate(weights):
+        if w:
+            total += w * (padded[k : k + size] if axis == 0 else padded[:, k : k + size])
+    return total
+
+
+def _ridges(a: np.ndarray, sensitivity: float, thickness: Sequence[int], bright: bool) -> np.ndarray:
+    """The largest ridge response over scales of one tile, by the formulas of raster.ridge()."""
+    best = np.zeros_like(a)
+    for t in thickness:
+        s = t / 6.0
+        smooth = raster.kernel(s, math.ceil(3.0 * s))
+        g = _line(_line(a, smooth, 1, "replicate"), smooth, 0, "replicate")
+        xx, yy = (s * s * _line(g, raster.SECOND, axis, "mirror") for axis in (1, 0))
+        xy = s * s * _line(_line(g, raster.FIRST, 1, "mirror"), raster.FIRST, 0, "mirror")
+        root = np.sqrt((xx - yy) ** 2 + 4.0 * xy * xy)
+        one, two = 0.5 * (xx + yy + root), 0.5 * (xx + yy - root)
+        swap = np.abs(one) > np.abs(two)
+        l1, l2 = np.where(swap, two, one), np.where(swap, one, two)
+        v = np.exp(-(l1 * l1 / np.where(l2 == 0, EPS, l2 * l2)) / 0.5) * (1.0 - np.exp(-(l1 * l1 + l2 * l2) / (2.0 * sensitivity * sensitivity)))
+        best = np.maximum(best, np.where(l2 >= 0 if bright else l2 <= 0, 0.0, v))
+    return best
+
+
+def ridge(pixels: DataFrame, sensitivity: float = 2.0, thickness: Sequence[int] = (4, 6, 8, 10, 12, 14), bright: bool = True, value: str = "v", side: int = SIDE, key: str = "img") -> DataFrame:
+    """(key, r, c, value, ridge): raster.ridge() by tiles, each an array of numbers; images are full rectangles, which is checked.
+
+    The blurs reach three sigmas and the derivatives two pixels further; that is a tile's margin.
+    """
     reach = max(math.ceil(3.0 * (t / 6.0)) for t in thickness) + 2
-    return tiled(pixels, lambda p: raster.ridge(p, sensitivity, thickness, bright, value, "tile"), reach, side)
+    kinds = dict(pixels.dtypes)
+    spread = with_margins(pixels.select(key, "r", "c", F.col(value).cast("double").alias(value)), reach, side, key)
+    spread = spread.select(key, "r", "c", value, F.col("tile.tr").alias("_tr"), F.col("tile.tc").alias("_tc"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        own = (r // side == pdf["_tr"].to_numpy()) & (c // side == pdf["_tc"].to_numpy())
+        if own.any():
+            at = (r - r.min(), c - c.min())
+            image = np.full((at[0].max() + 1, at[1].max() + 1), np.nan)
+            if len(pdf) != image.size:
+                raise ValueError("an image isn't a full rectangle of pixels")
+            image[at] = pdf[value].to_numpy()
+            pdf = pdf.assign(ridge=_ridges(image, sensitivity, thickness, bright)[at])
+        else:
+            pdf = pdf.assign(ridge=0.0)
+        return pdf.loc[own, [key, "r", "c", value, "ridge"]]
+
+    return spread.groupBy(key, "_tr", "_tc").applyInPandas(work, f"{key} {kinds[key]}, r {kinds['r']}, c {kinds['c']}, {value} double, ridge double")
 
 
 def normalised(pixels: DataFrame, value: str = "v", side: int = SIDE, fit: int = selection.FIT) -> DataFrame:
