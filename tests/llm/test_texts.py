@@ -332,7 +332,7 @@ def test_places_of_many_matches(spark):
 def test_very_many_numbers_take_linear_time(spark):
     rng = random.Random(1)
     forms = ["12, ", "(555) 123-4567, ", "4111 1111 1111 1111; ", "1.2.3.999, ", "a@b.co ", "+12 "]
-    model = {"trees": {"bias": 1.0, "rate": 0.1, "trees": [(1, 12.0, 0.1, 0.2)]}, "slope": 1.0, "offset": 0.0, "least": [2.0, 2.0, 2.0, 0.5]}
+    model = {"trees": {"bias": 1.0, "rate": 0.1, "trees": [(1, 12.0, 0.1, 0.2)]}, "slope": 1.0, "offset": 0.0, "least": [2.0, 2.0, 2.0, 0.5, 2.0]}
     took = {}
     for n in (100, 8_000, 32_000):
         text = "".join(rng.choice(forms) for _ in range(n))
