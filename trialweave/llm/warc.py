@@ -51,6 +51,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Columns: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload, record. The digest and length are
     those of the stored bytes; a payload that doesn't match the digest in its record's header stops the read.
+    page_id and refers_to are read as whole numbers; ids of other kinds come back null, as the header's text alone has them.
     Columns that aren't asked for aren't moved: without payload and record, the join carries digests and lengths only.
     """
     stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload", F.sha2("payload", 256).alias("actual"), F.octet_length("payload").cast("long").alias("payload_bytes"))
