@@ -120,14 +120,15 @@ def test_tiles_equal_whole_images(spark, side):
     assert close(tiles.tiled(pixels, eig, 5, side), raster.hessian(raster.blurred(pixels, {"g": (1.0, 3)}), {"g": 1.0}), "img", "r", "c", "g_l1", "g_l2")
 
 
-@pytest.mark.parametrize("side,small", [(1, 10**6), (4, 0), (7, 3), (64, 0)])
-@pytest.mark.parametrize("connectivity", [4, 8])
-def test_components_of_tiles(spark, side, small, connectivity):
+@pytest.mark.parametrize("side,small,connectivity,least", [(1, 10**6, 8, 9), (4, 0, 8, 9), (4, 0, 4, 3), (7, 3, 4, 9), (64, 0, 8, 2)])
+def test_components_of_tiles(spark, side, small, connectivity, least):
     mask = image(spark, 26, 19, 11).where("v > 0.1").select("img", "r", "c")
-    for least in (2, 9):
-        want = sorted(map(tuple, raster.area_opened(mask, least, connectivity=connectivity).collect()))
-        assert sorted(map(tuple, tiles.area_opened(mask, least, side, connectivity=connectivity, small=small).collect())) == want
-    assert tiles.area_opened(mask.limit(0), 2, side).collect() == []
+    want = sorted(map(tuple, raster.area_opened(mask, least, connectivity=connectivity).collect()))
+    assert sorted(map(tuple, tiles.area_opened(mask, least, side, connectivity=connectivity, small=small).collect())) == want
+
+
+def test_components_of_nothing(spark):
+    assert tiles.area_opened(spark.createDataFrame([], "img long, r long, c long"), 2, 8).collect() == []
 
 
 def test_components_of_graphs(spark):

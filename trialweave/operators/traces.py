@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..sources.scratch import sized
+from .trials import ranked_within
 
 #: Share of the surrounding signal that is taken off a region's.
 ALPHA = 0.85
@@ -189,6 +191,12 @@ def difference_report(ours: DataFrame, theirs: DataFrame, keys: Sequence[str], v
     return both.agg(F.count(F.lit(1)).alias("n"), F.count(gap).alias("n_both"), F.max(gap).alias("max_abs"), F.max(F.try_divide(gap, F.abs("y"))).alias("max_rel"), F.bool_and(F.col("x").isNull() == F.col("y").isNull()).alias("same_layout"))
 
 
+def placed_by_trial(points: DataFrame, groups: Sequence[str], value: str = "v") -> DataFrame:
+    """(groups, k, place, trial, value): a group's trials numbered in their order, whatever order they came in. Rows, where ordered_by_trial() has arrays that grow with the trials."""
+    place = sized(ranked_within(points.select(*groups, "trial").distinct(), list(groups), ["trial"], "place"))
+    return points.join(place, [*groups, "trial"]).select(*groups, "k", "place", "trial", value)
+
+
 def ordered_by_trial(points: DataFrame, groups: Sequence[str], value: str = "v") -> DataFrame:
     """One row a (group, k) with its values as an array in the order of trials, whatever order they came in."""
     got = points.groupBy(*groups, "k").agg(F.array_sort(F.collect_list(F.struct("trial", F.col(value).alias("v")))).alias("cols"))

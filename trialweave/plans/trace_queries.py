@@ -441,15 +441,23 @@ def condition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COLUMNS_SQL = f"WITH {WINDOWS_SQL} SELECT cond, trial // 100 AS holo, k, string_agg(CAST(trial AS VARCHAR), ',' ORDER BY trial) AS trials, count(*) AS n FROM w GROUP BY 1, 2, 3"
 
+def condition_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group's values as rows, with the place of each trial among the group's."""
+    points = _holo_windows(spark, sf_dir).withColumn("holo", F.expr("trial div 100"))
+    return T.placed_by_trial(points, ["cond", "holo"]).select("cond", "holo", "k", "place", "trial", *r6("v"))
+
+
+PLACES_SQL = f"WITH {WINDOWS_SQL} SELECT cond, trial // 100 AS holo, k, dense_rank() OVER (PARTITION BY cond, trial // 100 ORDER BY trial) AS place, trial, round(v, 6) + 0.0 AS v FROM w"
+
 QUERIES = {f.__name__: f for f in (
     pulse_ranges, holo_mean_ci, trial_dff, trial_dff_common_f0, trial_dff_filtered, window_extract, window_lengths, baseline_exclude, detrended_sweeps, sweep_ci, trial_excluder, hazen_percentile, mad_outliers,
     interleave_metrics, channel_split, iir_causal, iir_zero_phase, holo_ids, session_normalise, session_record, trial_metadata_join, eligible_trials, trial_sample, trial_progress, latest_record, trial_index,
-    electrode_union, parity_report, condition_columns)}
+    electrode_union, parity_report, condition_columns, condition_places)}
 ORACLE_SQL = {
     "pulse_ranges": PULSES_SQL,
     "holo_mean_ci": HOLO_MEAN_CI_SQL, "trial_dff": TRIAL_DFF_SQL, "trial_dff_common_f0": TRIAL_DFF_COMMON_SQL, "window_extract": WINDOW_EXTRACT_SQL, "window_lengths": WINDOW_LENGTHS_SQL, "baseline_exclude": BASELINE_SQL,
     "detrended_sweeps": f"WITH {FLAT_SQL} SELECT trial, cond, k, round(flat, 6) + 0.0 AS flat FROM f", "sweep_ci": SWEEP_CI_SQL, "trial_excluder": TRIAL_EXCLUDER_SQL, "hazen_percentile": HAZEN_SQL, "mad_outliers": MAD_SQL,
     "interleave_metrics": INTERLEAVE_SQL, "channel_split": CHANNEL_SPLIT_SQL, "iir_causal": CAUSAL_SQL, "iir_zero_phase": ZERO_PHASE_SQL, "trial_dff_filtered": FILTERED_SQL, "holo_ids": HOLO_IDS_SQL, "session_normalise": SESSION_SQL, "session_record": SESSION_RECORD_SQL, "trial_metadata_join": METADATA_SQL,
     "eligible_trials": ELIGIBLE_SQL, "trial_sample": TRIAL_SAMPLE_SQL, "trial_progress": PROGRESS_SQL, "latest_record": LATEST_SQL, "trial_index": TRIAL_INDEX_SQL, "electrode_union": ELECTRODE_SQL,
-    "parity_report": PARITY_SQL, "condition_columns": COLUMNS_SQL,
+    "parity_report": PARITY_SQL, "condition_columns": COLUMNS_SQL, "condition_places": PLACES_SQL,
 }
