@@ -257,3 +257,14 @@ def test_keyed_state_meets_in_any_order(spark, tmp_path):
     last = {t: (x, why) for t, x, why in got}
     assert last[1] == (1.6, None) and last[2] == (2.0, None) and last[9][1] == "no metadata"
     assert last[3] in ((3.0, None), (None, "no metadata"))  # its metadata may come after three short waits
+
+
+def test_idle_streams_stop(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(1,)], "trial long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream, got = spark.readStream.schema("trial long").parquet(str(tmp_path / "in")), []
+    for name, done in (("idle", lambda: False), ("done", lambda: len(got) > 0)):
+        query = stream.writeStream.foreachBatch(lambda df, k: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / name)).trigger(processingTime="100 milliseconds").start()
+        began = time.time()
+        live.stop_when_idle(query, 4.0 if name == "idle" else 60.0, done, poll=0.1)
+        assert not query.isActive and got and time.time() - began < 40
