@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import random
 import re
 import time
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trialweave.llm import common, html_text, language, pieces, pii, toxicity, warc
+from trialweave.llm import boosting, common, html_text, language, pieces, pii, toxicity, warc
 from trialweave.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
@@ -390,6 +391,38 @@ def test_secrets_are_learnt_by_their_names(spark):
     assert hits / len(texts) > 0.95 and hits / sum(map(len, added.values())) > 0.95
 
 
+def test_all_matches_are_learnt_from(spark):
+    """A format that is rare among many matches of other forms, too rare to show in a part of them, is found in every document."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    texts = [f"{'lo a@b.co ' * 1000}{'ra ' * k}256.1.1.1 ra {'call ' if k % 30 else 'mi '}({digits(3)}) {digits(3)}-{digits(4)} tu" for k in range(150)]
+    found = common.materialize(pii.matches(spark.createDataFrame(list(enumerate(texts)), SCHEMA)), "matches")
+    added = {r.doc_id: [(s.kind, s.begin, s.end) for s in r.spans if s.score < 1] for r in pii.select(found, pii.fit(found)).select("doc_id", "spans").collect()}
+    assert added == {k: [(pii.KINDS.index("phone"), t.index("("), len(t) - 3)] for k, t in enumerate(texts)}
+
+
+def test_trees_grow_alike_in_spark_and_gathered(spark):
+    rng = random.Random(6)
+    rows = [([float(rng.randint(0, 3)), float(rng.randint(0, 40)), float(rng.randint(0, 40)), 1.0], rng.randint(1, 5)) for _ in range(400)]
+    rows = [(x, n, rng.randint(0, n) if x[1] + x[2] > 40 + 5 * x[0] else 0) for x, n in rows]
+    counted = spark.createDataFrame(rows, "features array<double>, n long, positive long").repartition(3)
+    gathered, spread = (boosting.fit(counted, trees=2, local=k) for k in (len(rows), 0))
+    assert gathered["bias"] == spread["bias"] and all(isinstance(t, tuple) for t in spread["trees"])
+    flat = lambda t: [t] if not isinstance(t, tuple) else [t[0], t[1], *flat(t[2]), *flat(t[3])]
+    assert [flat(t) for t in gathered["trees"]] == [pytest.approx(flat(t), abs=1e-6) for t in spread["trees"]]
+    one = [([k, 2.0], n, y) for (x, n, y) in rows[:50] for k in x[1:2]]  # a feature of one value can't be cut
+    assert all(len(flat(t)) == 1 or t[0] == 0 for k in (0, 50) for t in boosting.fit(spark.createDataFrame(one, "features array<double>, n long, positive long"), trees=1, local=k)["trees"])
+    repeated = boosting.fit(counted.selectExpr("features", "3 * n as n", "3 * positive as positive"), trees=2), boosting.fit(counted.unionByName(counted).unionByName(counted), trees=2)
+    assert [flat(t) for t in repeated[0]["trees"]] == [pytest.approx(flat(t), abs=1e-5) for t in repeated[1]["trees"]]
+    margins = counted.select(boosting.margin_column(gathered, lambda f: F.get("features", F.lit(f))).alias("z"), "n", "positive")
+    assert boosting.calibrate(margins) == pytest.approx(boosting.calibrate(margins, 0), abs=1e-6)
+    far = spark.createDataFrame([(12.6, 28500, 28500), (-36.7, 34, 0), (3.1, 37, 36)], "z double, n long, positive long")
+    slope, offset = boosting.calibrate(far)  # undamped steps run off to a slope of 900,000
+    high, low = (28536 + 1) / (28536 + 2), 1 / (35 + 2)
+    off = [(z, y * high + (n - y) * low - n / (1 + math.exp(-slope * z - offset))) for z, n, y in far.collect()]
+    assert 0 < slope < 1 and abs(sum(d for _, d in off)) < 1e-3 and abs(sum(d * z for z, d in off) - 1e-3 * (slope - 1)) < 1e-3
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.co, 1.2.3.4!"), (2, None)], SCHEMA)
     got = {r.doc_id: r.text for r in pii.redact(pii.find(docs, None)).collect()}

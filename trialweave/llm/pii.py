@@ -5,24 +5,24 @@ what stands between them give the spans' places, by sums of blocks of lengths, s
 phone) accept their generator's valid matches outright. The other generators' matches (other forms of these, and secrets: long runs of letters and
 digits), and base matches that fail, are candidates; the trees score them by format and context. Candidates that overlap a base span or a better candidate are left out.
 
-The trees learn from a bounded sample of the corpus's own matches: valid base matches are personal data, and candidates are labelled by whether
+The trees learn from all matches of the corpus: valid base matches are personal data, and candidates are labelled by whether
 a word that announces the kind stands before them. That word is no feature: the trees learn which formats and surroundings are mostly announced, and so
-judge those that aren't. A fifth of the sample, by a hash of the text, is held out to calibrate the scores and to set the least probability of
+judge those that aren't. A fifth of the matches, by a hash of place and features, is held out to calibrate the scores and to set the least probability of
 each kind for a redaction.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: The most matches that the trees are fitted on; the share of announced candidates that a kind's threshold must reach on the held-out fifth, and how
-#: many candidates must show it; characters of context, which ends at the generator's last match.
-SAMPLE, PRECISION, SHOWN, CONTEXT = 20_000, 0.9, 10, 40
+#: The share of announced candidates that a kind's threshold must reach on the held-out fifth, and how many candidates must show it; characters of
+#: context, which ends at the generator's last match.
+PRECISION, SHOWN, CONTEXT = 0.9, 10, 40
 #: Lengths that are added up to one of the next level, where places are made of them.
 BLOCK = 64
 # Java repeats groups by recursion unless the repetition is possessive; nothing after them could take a character back, so
@@ -146,35 +146,30 @@ def _features(x: Column) -> Column:
     return F.array(*[F.coalesce(f.cast("int").cast("double"), F.lit(0.0)) for f in own])
 
 
-def fit(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, shown: int = SHOWN) -> dict | None:
-    """The trees and each kind's threshold, of the column `found` of matches(); None if the sample has one class only, when the base rules decide alone.
+def fit(found: DataFrame, precision: float = PRECISION, shown: int = SHOWN, local: int = boosting.LOCAL_ROWS) -> dict | None:
+    """The trees and each kind's threshold, of the column `found` of matches(); None if all matches are of one class, when the base rules decide alone.
 
-    The matches of all documents are counted, and about `sample` of them, dealt by a hash, gathered as rows of numbers. A kind of which fewer
-    than `shown` held-out candidates reach the precision is never redacted beyond the base.
+    The matches of all documents are counted by their features, and trees, calibration and thresholds are made of all these counts, by Spark jobs if there
+    are more than `local` of them. A kind of which fewer than `shown` held-out candidates reach the precision is never redacted beyond the base.
     """
-    rows = found.where(F.size("found") > 0).select(F.explode("found").alias("x")).select(F.xxhash64("x").alias("order"), F.col("x.f").alias("features"), F.col("x.cue").alias("cue"), F.col("x.valid").alias("valid"))
-    n = rows.count()
-    got = rows.where(F.pmod("order", F.lit(1_000_003)) < min(1.0, sample / max(1, n)) * 1_000_003).limit(2 * sample).collect()
-    if not got:
+    rows = found.where(F.size("found") > 0).select(F.explode("found").alias("x")).select(
+        F.col("x.f").alias("features"), F.col("x.valid").alias("valid"), (F.pmod(F.xxhash64("x"), F.lit(5)) == 0).alias("aside"), (F.col("x.valid") | F.col("x.cue")).cast("long").alias("y"))
+    counted = materialize(rows.groupBy("features", "valid", "aside").agg(F.count("*").alias("n"), F.sum("y").alias("positive")), "counted")
+    number = {r.aside: r for r in counted.groupBy("aside").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).collect()}
+    if len(number) < 2 or not 0 < number[False].positive < number[False].n:
         return None
-    x = np.array([r.features for r in got])
-    y = np.array([float(r.valid or r.cue) for r in got])
-    aside = np.array([r.order % 5 == 0 for r in got])
-    if len({*y[~aside]}) < 2 or not aside.any():
-        return None
-    model = boosting.fit(x[~aside], y[~aside])
-    z = boosting.margin(model, x[aside])
-    a, b, _ = boosting.calibrate(z, y[aside], precision)
-    least = []
-    for k in range(len(KINDS)):
-        own = (x[aside][:, 0] == k) & ~np.array([r.valid for r in got])[aside]
-        p = 1 / (1 + np.exp(-np.clip(a * z[own] + b, -30, 30)))
-        order = np.argsort(-p, kind="stable")
-        share = np.cumsum(y[aside][own][order]) / np.arange(1, own.sum() + 1)
-        last = np.append(p[order][1:] < p[order][:-1], True)[: own.sum()]  # candidates of one probability stand or fall together
-        good = np.flatnonzero((share >= precision) & last & (np.arange(1, own.sum() + 1) >= shown))
-        least.append(float(p[order[good[-1]]]) - 1e-9 if len(good) else 2.0)
-    return {"trees": model, "slope": a, "offset": b, "least": least}
+    model = boosting.fit(counted.where("not aside"), local=local)
+    feature = lambda f: F.get("features", F.lit(f))
+    held = counted.where("aside").select(feature(FEATURES.index("kind")).cast("int").alias("kind"), "valid", boosting.margin_column(model, feature).alias("z"), "n", "positive")
+    held = materialize(held.groupBy("kind", "valid", "z").agg(*[F.sum(c).alias(c) for c in ("n", "positive")]), "held")
+    a, b = boosting.calibrate(held, local)
+    p = 1 / (1 + F.exp(-(F.lit(a) * F.col("z") + F.lit(b))))
+    candidates = held.where("not valid").groupBy("kind", p.alias("p")).agg(*[F.sum(c).alias(c) for c in ("n", "positive")])  # candidates of one probability stand or fall together
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    above = candidates.select("kind", "p", *[F.sum(c).over(down).alias(c) for c in ("n", "positive")])
+    good = above.where((F.col("positive") / F.col("n") >= precision) & (F.col("n") >= shown)).groupBy("kind").agg(F.min("p").alias("p"))
+    least = {r.kind: r.p - 1e-9 for r in good.collect()}
+    return {"trees": model, "slope": a, "offset": b, "least": [least.get(k, 2.0) for k in range(len(KINDS))]}
 
 
 def _below(items: Column, field: str, bound: Column, inclusive: bool) -> Column:
